@@ -1,0 +1 @@
+"""Corpus operators for training-data preparation. Nothing outside this package imports it."""
