@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistra.llm import sharding
+from gistra.llm import bpe, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": bpe.op1_bpe,
         "op7_sharding": sharding.op7_sharding,
+        "op9_url_filters": urls.op9_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_url_filters": urls.OP9_SQL,
+    }
