@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistra.llm import bpe, sharding, urls
+from gistra.llm import bpe, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_simhash": simhash.op2_simhash,
         "op7_sharding": sharding.op7_sharding,
         "op9_url_filters": urls.op9_url_filters,
     }
