@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistra.llm import bpe, sharding, simhash, urls
+from gistra.llm import bpe, secrets, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,11 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": bpe.op1_bpe,
         "op2_simhash": simhash.op2_simhash,
         "op7_sharding": sharding.op7_sharding,
+        "op8_secret_scans": secrets.op8_secret_scans,
         "op9_url_filters": urls.op9_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_secret_scans": secrets.op8_secret_scans,
         "op9_url_filters": urls.OP9_SQL,
     }
