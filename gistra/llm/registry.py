@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistra.llm import bpe, quality, secrets, sharding, simhash, urls
+from gistra.llm import bpe, counts, quality, secrets, sharding, simhash, spotsigs, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": bpe.op1_bpe,
         "op2_simhash": simhash.op2_simhash,
         "op3_quality": quality.op3_quality,
+        "op4_fingerprints": spotsigs.op4_fingerprints,
+        "op5_token_counts": counts.op5_token_counts,
         "op7_sharding": sharding.op7_sharding,
         "op8_secret_scans": secrets.op8_secret_scans,
         "op9_url_filters": urls.op9_url_filters,
