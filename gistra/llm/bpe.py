@@ -32,6 +32,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -349,22 +350,27 @@ def decode(df: DataFrame, path: str, column: str = "ids", out: str = "decoded")
     return df.mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, path: str, column: str = "text", prefix: str = "") -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256 of a round trip, without keeping the ids."""
-    names = [f"{prefix}n_tokens", f"{prefix}ids_sha256", f"{prefix}decoded_sha256"]
-    schema = _columns(df, [(names[0], T.LongType()), (names[1], T.StringType()), (names[2], T.StringType())])
+def round_trip(df: DataFrame, path: str, column: str = "text", ids: bool = True) -> DataFrame:
+    """Replaces ``column`` by n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
+    new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    new += [("ids", T.ArrayType(T.IntegerType()))] if ids else []
+    schema = _columns(df.drop(column), new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sha = encoder(path), hashlib.sha256
         for batch in batches:
             for part, texts in _batches(batch, column):
-                ids = enc.encode(texts)
-                new = {
-                    names[0]: pa.array([s.count(" ") + 1 if s else 0 for s in ids], pa.int64()),
-                    names[1]: pa.array([sha(s.encode()).hexdigest() for s in ids]),
-                    names[2]: pa.array([sha(enc.decode(s).encode()).hexdigest() for s in ids]),
+                found = enc.encode(texts)
+                sizes = [s.count(" ") + 1 if s else 0 for s in found]
+                cols = {
+                    "n_tokens": pa.array(sizes, pa.int64()),
+                    "ids_sha256": pa.array([sha(s.encode()).hexdigest() for s in found]),
+                    "decoded_sha256": pa.array([sha(enc.decode(s).encode()).hexdigest() for s in found]),
                 }
-                yield _with(part, schema, new)
+                if ids:
+                    flat = np.fromstring(" ".join(filter(None, found)), dtype=np.int32, sep=" ") if any(sizes) else np.zeros(0, np.int32)
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
+                yield _with(part, schema, cols)
 
     return df.mapInArrow(run, schema)
 
@@ -372,4 +378,4 @@ def digests(df: DataFrame, path: str, column: str = "text", prefix: str = "") ->
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every document with the word vocabulary, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(docs, vocabulary()).drop("text")
+    return round_trip(docs, vocabulary(), ids=False)
