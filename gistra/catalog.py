@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list[str] = []
+_MODULES = ["cardinality", "membership"]
 
 
 def _all() -> list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]]:
