@@ -63,7 +63,7 @@ def hll_redis(s, d):
 
 def hll_constants(s, d):
     rows = s.range(4, 19).select(F.col("id").cast("int").alias("precision"))
-    m = F.shiftleft(F.lit(1), F.col("precision"))
+    m = F.expr("shiftleft(1, precision)")
     return rows.select("precision", m.cast("long").alias("num_registers"), r6(1.04 / F.sqrt(m.cast("double")), "standard_error"))
 
 
@@ -88,7 +88,7 @@ def cpc_merge(s, d):
 
 
 def _theta(s, d, kind, lg_k=7):
-    return C.theta(table(s, d, "events").filter(F.col("event_type") == kind), "user_id", lg_k=lg_k)
+    return C.theta(table(s, d, "lineitem").filter((F.col("l_returnflag") == kind) & (F.col("l_linenumber") == 1)), "l_partkey", lg_k=lg_k)
 
 
 def theta_build(s, d):
@@ -100,7 +100,7 @@ def theta_estimate(s, d):
 
 
 def theta_union(s, d):
-    return C.theta_union(_theta(s, d, "click"), _theta(s, d, "purchase")).df.select("h", "bound")
+    return C.theta_union(_theta(s, d, "A"), _theta(s, d, "R")).df.select("h", "bound")
 
 
 def theta_merge(s, d):
@@ -110,11 +110,11 @@ def theta_merge(s, d):
 
 
 def theta_intersect(s, d):
-    return C.theta_intersect(_theta(s, d, "click"), _theta(s, d, "purchase")).df.select("h", "bound")
+    return C.theta_intersect(_theta(s, d, "A"), _theta(s, d, "R")).df.select("h", "bound")
 
 
 def theta_difference(s, d):
-    return C.theta_difference(_theta(s, d, "click"), _theta(s, d, "purchase")).df.select("h", "bound")
+    return C.theta_difference(_theta(s, d, "A"), _theta(s, d, "R")).df.select("h", "bound")
 
 
 def qsketch(s, d):
@@ -152,7 +152,7 @@ def _theta_sql(rows: str, by: str, x: str, k: int) -> str:
   from (select *, row_number() over ({part} order by h) as n from (select distinct {b}{H(0, x)} as h from {rows})) where n <= {k + 1}) where h < bound)"""
 
 
-_EV = lambda kind: _theta_sql(f"(select * from events where event_type = '{kind}')", "", "user_id", 128)
+_EV = lambda kind: _theta_sql(f"(select * from lineitem where l_returnflag = '{kind}' and l_linenumber = 1)", "", "l_partkey", 128)
 _CPC = regs_sql("orders", "o_orderpriority", "o_custkey", 11)
 _ORD = "(select o_orderstatus, h, sum(w) as w from (select o_orderstatus, " + H(0, "o_custkey") + " as h, round(o_totalprice) as w from orders) group by all)"
 
@@ -173,9 +173,9 @@ from (select o_orderpriority, count(*)::double as used, {0.7213 / (1 + 1.079 / 2
     ("c14_cpc_merge", cpc_merge, regs_sql("orders", "", "o_custkey", 11)),
     ("c15_theta_build", theta_build, "select l_returnflag, h, bound from " + _theta_sql("lineitem", "l_returnflag", "l_partkey", 64)),
     ("c16_theta_estimate", theta_estimate, f"select l_returnflag, round(case when min(bound) = {1 << 60} then count(*)::double else count(*) * {float(1 << 60)!r} / min(bound) end, 4) as estimate, count(*) as retained, round(min(bound) / {float(1 << 60)!r}, 6) as theta from " + _theta_sql("lineitem", "l_returnflag", "l_partkey", 256) + " group by 1"),
-    ("c17_theta_union", theta_union, f"with u as (select * from {_EV('click')} union all select * from {_EV('purchase')}), t as (select min(bound) as b from u) select distinct h, b as bound from u, t where h < b"),
-    ("c18_theta_intersect", theta_intersect, f"with x as (select * from {_EV('click')}), y as (select * from {_EV('purchase')}), t as (select min(bound) as b from (select bound from x union all select bound from y)) select h, b as bound from x, t where h < b and h in (select h from y)"),
-    ("c19_theta_difference", theta_difference, f"with x as (select * from {_EV('click')}), y as (select * from {_EV('purchase')}), t as (select min(bound) as b from (select bound from x union all select bound from y)) select h, b as bound from x, t where h < b and h not in (select h from y)"),
+    ("c17_theta_union", theta_union, f"with u as (select * from {_EV('A')} union all select * from {_EV('R')}), t as (select min(bound) as b from u) select distinct h, b as bound from u, t where h < b"),
+    ("c18_theta_intersect", theta_intersect, f"with x as (select * from {_EV('A')}), y as (select * from {_EV('R')}), t as (select min(bound) as b from (select bound from x union all select bound from y)) select h, b as bound from x, t where h < b and h in (select h from y)"),
+    ("c19_theta_difference", theta_difference, f"with x as (select * from {_EV('A')}), y as (select * from {_EV('R')}), t as (select min(bound) as b from (select bound from x union all select bound from y)) select h, b as bound from x, t where h < b and h not in (select h from y)"),
     ("c20_theta_merge", theta_merge, "select h, bound from " + _theta_sql("lineitem", "", "l_orderkey", 256)),
     ("c22_qsketch_distinct", qsketch, f"select o_orderstatus, count(*) as distinct, round(sum(w), 4) as total_weight from {_ORD} group by 1".replace("as distinct", 'as "distinct"')),
     ("c21_qsketch_sample", qsketch_sample, f"select o_orderstatus, h, round(w, 4) as w from (select *, row_number() over (partition by o_orderstatus order by (h + 1) / {float(1 << 60)!r} / w, h) as n from {_ORD} where w > 0) where n <= 64"),
