@@ -69,12 +69,21 @@ class Kll:
         return _values(df, value, by).groupBy(*by).agg(F.expr(f"kll_sketch_agg_double(v, {self.k})").alias("kll"))
 
     @staticmethod
-    def quantiles(states: DataFrame, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-        return _qs(states, qs).select(*by, "q", F.expr("kll_sketch_get_quantile_double(kll, q)").alias("quantile"))
-
-    @staticmethod
-    def ranks(states: DataFrame, values: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-        return states.withColumn("value", F.explode(F.array(*map(F.lit, map(float, values))))).select(*by, "value", F.expr("kll_sketch_get_rank_double(kll, value)").alias("rank"))
+    def _asked(states: DataFrame, function: str, values: Sequence[float], by: Sequence[str], names: tuple[str, str]) -> DataFrame:
+        """A row for each value; Spark takes them as one constant array."""
+        listed = F.array(*(F.lit(float(v)) for v in values))
+        got = F.call_function(function, F.col("kll"), listed)
+        return states.select(*by, F.explode(F.arrays_zip(listed.alias(names[0]), got.alias(names[1]))).alias("z")).select(*by, *(F.col(f"z.{n}") for n in names))
+
+    @classmethod
+    def quantiles(cls, states: DataFrame, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+        for q in qs:
+            P.within("q", q, 0.0, 1.0)
+        return cls._asked(states, "kll_sketch_get_quantile_double", qs, by, ("q", "quantile"))
+
+    @classmethod
+    def ranks(cls, states: DataFrame, values: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+        return cls._asked(states, "kll_sketch_get_rank_double", values, by, ("value", "rank"))
 
     @staticmethod
     def merge(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
