@@ -137,7 +137,7 @@ class FingerprintFilter:
     @classmethod
     def vacuum(cls, capacity: int, fpr: float = 0.01, load: float = 0.95, fast: bool = False) -> FingerprintFilter:
         P.probability("fpr", fpr)
-        return cls(capacity, min(15, max(4, math.ceil(-math.log2(fpr)))), load, fast, "vacuum")
+        return cls(capacity, min(18, max(4, math.ceil(-math.log2(fpr)) + 3)), load, fast, "vacuum")  # 8 slots are probed, one bit is fixed
 
     def _entry(self, item: Column) -> tuple[Column, Column]:
         h = hashed(item, 0, self.fast)
