@@ -83,10 +83,8 @@ class Bpe:
         end = self.suffix
         inner = {t: i for t, i in self.vocab.items() if not (end and t.endswith(end) and t != end)}
         self.final = {t.removesuffix(end): i for t, i in self.vocab.items() if t.endswith(end) and t != end} if end else inner
-        #: Every prefix of an inner token: its id if it is itself a token, else -1.
-        self.inner = {t[:k]: -1 for t in inner for k in range(1, len(t))} | inner
+        self.inner = inner
         self.width = [len(t.removesuffix(end)) if end and t != end else len(t) for t in self.token]
-        self.longest = max(map(len, self.final))
         self.bytes = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
         self.seams: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
@@ -139,72 +137,65 @@ class Bpe:
             else:
                 return True
 
+    def _spell(self, word: str) -> str:
+        """The word in the byte alphabet."""
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", "\u0120")
+        return word.encode().decode("latin-1").translate(self.bytes)
+
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words (each one pre-token).
 
         The trie is held as the sorted words: each shares with the one before it
         the nodes of their common prefix, and going down the list visits the
         nodes depth first. ``last`` has the last-token state of every node on
-        the path to the present word, ``low`` where the longest inner token that
-        could still grow there begins.
+        the path to the present word. Exactly one token fits a node, so any order
+        of trying finds it: the parent's last token grown by the new character
+        first, then tokens from short to long.
         """
-        alphabet, inner, final, width, longest = self.bytes, self.inner.get, self.final.get, self.width, self.longest
-        seams, suffix = self.seams, bool(self.suffix)
-        spelled = sorted((w.encode().decode("latin-1").translate(alphabet), w) for w in words)
+        inner, final, width = self.inner.get, self.final.get, self.width
+        known, suffix = self.seams.get, bool(self.suffix)
         out: dict[str, list[int]] = {}
-        last, low, before = [-1], [0], ""
-        for text, word in spelled:
+        last, before = [-1], ""
+        words = list(words)
+        for text, word in sorted(zip(map(self._spell, words), words)):
             n, k = len(text), 0
             for a, b in zip(before, text):
                 if a != b:
                     break
                 k += 1
-            del last[k + 1 :], low[k + 1 :]
+            del last[k + 1 :]
             before = text
-            for d in range(len(last), n if suffix else n + 1):
-                lo = at = low[-1]
+            for d in range(len(last), n + 1):
+                tokens = final if suffix and d == n else inner
+                grown = at = d - 1 - width[last[-1]] if d > 1 else 0
                 while True:
-                    t = inner(text[at:d])
-                    if t is None:
-                        if at == lo:
-                            lo += 1
-                    elif t >= 0:
+                    t = tokens(text[at:d])
+                    if t is not None:
                         if not at:
                             if self.alone(t):
                                 break
                         else:
                             key = (last[at], t)
-                            apart = seams.get(key)
+                            apart = known(key)
                             if self.apart(*key) if apart is None else apart:
                                 break
-                    at += 1
-                    if at >= d:
+                    at = d - 1 if at == grown else at - 1
+                    if at == grown:
+                        at -= 1
+                    if at < 0:
                         raise ValueError(f"no encoding of {word!r}: a byte is missing from the vocabulary")
                 last.append(t)
-                low.append(lo)
-            if suffix:
-                for at in range(n - longest if n > longest else 0, n):
-                    t = final(text[at:])
-                    if t is not None:
-                        if not at:
-                            if self.alone(t):
-                                break
-                        else:
-                            key = (last[at], t)
-                            apart = seams.get(key)
-                            if self.apart(*key) if apart is None else apart:
-                                break
-                else:
-                    raise ValueError(f"no encoding of {word!r}: a byte is missing from the vocabulary")
-            else:
-                t = last[n]
-            ids, at = [t], n - width[t]
+            ids, at = [t if suffix else last[n]], n
+            at -= width[ids[0]]
             while at > 0:
                 t = last[at]
                 ids.append(t)
                 at -= width[t]
             ids.reverse()
             out[word] = ids
+            if suffix:
+                del last[n:]  # that node was the end of a word, not a place within one
         return out
 
 
