@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["cardinality", "membership", "frequency", "quantiles", "similarity", "streaming"]
+_MODULES = ["cardinality", "membership", "frequency", "quantiles", "similarity", "streaming", "rest"]
 
 
 def _all() -> list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]]:
