@@ -18,6 +18,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     where one label has many nodes.
     """
     both = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
+    if both.isEmpty():
+        return both.select(F.col("u").alias("node"), F.col("v").alias("label"))
     labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"))
     while True:
         offered = both.join(labels.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "label")

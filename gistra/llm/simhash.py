@@ -107,7 +107,9 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """(key, fp, component): the least key of everything reachable over links."""
     rows = cut(fingerprints(docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)), text))
-    nodes = cut(rows.groupBy("fp").agg(F.min(F.coalesce(key, F.lit(NO_ID))).alias("least")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = F.min(F.coalesce(key, F.lit(NO_ID))).alias("least")
+    nodes = cut(rows.groupBy("fp").agg(least).repartition(parts, "fp"))  # each will become 64 rows, so many small tasks
     labels = components(links(nodes.select("fp"), crowd))
     rooted = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     roots = rooted.groupBy("label").agg(F.min("least").alias("component"))
