@@ -22,14 +22,18 @@ def _alpha(m: int) -> float:
 
 
 def registers(df: DataFrame, item: str | Column, by: Sequence[str] = (), precision: int = 12, kind: str = "hll", fast: bool = False) -> State:
-    """Per group and register the greatest rank. Items are made distinct before hashing."""
+    """Per group and register the greatest rank.
+
+    Items are not made distinct first: partial aggregation leaves at most one row
+    a register and task to shuffle, however many distinct items there are.
+    """
     if kind == "cpc":
         P.log_size(precision)
     else:
         P.precision(precision)
     col = F.col(item) if isinstance(item, str) else item
     width = BITS - precision
-    items = df.select(*by, col.alias("__item")).filter("__item is not null").distinct()
+    items = df.select(*by, col.alias("__item")).filter("__item is not null")
     h = hashed(F.col("__item"), 0, fast)
     rows = items.withColumn("__h", h).select(*by, F.shiftright("__h", width).cast("int").alias("idx"), rho(F.col("__h").bitwiseAND((1 << width) - 1), width).alias("rank"))
     return State.of(rows, kind, {"precision": precision, "fast": fast}, by, ["idx"], {"rank": "max"})
