@@ -163,16 +163,22 @@ def space_saving(df: DataFrame, item: str | Column, by: Sequence[str] = (), capa
     return _keep(State(rows, "space_saving", {"capacity": capacity}, tuple(by), ("item",), {"cnt": "sum", "err": "sum"}), capacity)
 
 
+def _beside(rows: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with the columns of their group."""
+    return rows.join(per_group, list(by), "left") if by else rows.join(F.broadcast(per_group))  # one row
+
+
 def _keep(state: State, capacity: int) -> State:
+    """The items of greatest count. The rank is limited before rows are shuffled, totals are partial sums."""
     w = _over(state.by)
     df = state.df
-    first = "floor" not in df.columns
-    total = F.sum("cnt").over(w) if first else F.col("total")
-    ranked = df.withColumn("__n", F.row_number().over(w.orderBy(F.desc("cnt"), "item"))).withColumn("total", total)
-    over = F.max(F.when(F.col("__n") > capacity, F.col("cnt"))).over(w)
-    floor = F.coalesce(over, F.lit(0)) if first else F.greatest("floor", F.coalesce(over, F.lit(0)))
-    out = ranked.withColumn("floor", floor.cast("long")).filter(F.col("__n") <= capacity).drop("__n")
-    return State(out, state.kind, state.params, state.by, state.keys, state.measures)
+    ranked = df.withColumn("__n", F.row_number().over(w.orderBy(F.desc("cnt"), "item"))).filter(F.col("__n") <= capacity + 1)
+    over = F.coalesce(F.max(F.when(F.col("__n") == capacity + 1, F.col("cnt"))).over(w), F.lit(0))
+    if "floor" in df.columns:
+        out = ranked.withColumn("floor", F.greatest("floor", over).cast("long"))
+    else:
+        out = _beside(ranked.withColumn("floor", over.cast("long")), df.groupBy(*state.by).agg(F.sum("cnt").alias("total")), state.by)
+    return State(out.filter(F.col("__n") <= capacity).drop("__n"), state.kind, state.params, state.by, state.keys, state.measures)
 
 
 def space_saving_merge(a: State, b: State) -> State:
@@ -185,10 +191,7 @@ def space_saving_merge(a: State, b: State) -> State:
     fa = a.df.groupBy(*by).agg(F.first("floor").alias("fa"), F.first("total").alias("ta"))
     fb = b.df.groupBy(*by).agg(F.first("floor").alias("fb"), F.first("total").alias("tb"))
     both = x.join(y, [*by, "item"], "full_outer")
-    if by:
-        both = both.join(fa, by, "left").join(fb, by, "left")
-    else:
-        both = both.join(F.broadcast(fa)).join(F.broadcast(fb))  # one row each
+    both = _beside(_beside(both, fa, by), fb, by)
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     cnt = F.when(F.col("x").isNull(), z("fa")).otherwise(F.col("x.cnt")) + F.when(F.col("y").isNull(), z("fb")).otherwise(F.col("y.cnt"))
     err = F.when(F.col("x").isNull(), z("fa")).otherwise(F.col("x.err")) + F.when(F.col("y").isNull(), z("fb")).otherwise(F.col("y.err"))
@@ -221,12 +224,15 @@ def frequent_items(df: DataFrame, item: str | Column, by: Sequence[str] = (), ma
 
 
 def _purge(state: State) -> State:
-    w = _over(state.by)
+    """Without the items of the counts that do not fit. How many items have a count is summed up first, so ranks need the distinct counts only."""
     n = int(state.params["max_size"])
-    ranked = state.df.withColumn("__n", F.rank().over(w.orderBy(F.desc("cnt")))).withColumn("__m", F.count("*").over(w.orderBy(F.desc("cnt")).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    gone = F.max(F.when(F.col("__m") > n, F.col("cnt"))).over(w)
-    kept = ranked.withColumn("offset", F.max("offset").over(w) + F.coalesce(gone, F.lit(0))).filter(F.col("__m") <= n).drop("__n", "__m")
-    return state.like(kept)
+    have = state.df.groupBy(*state.by, "cnt").agg(F.count("*").alias("__k"))
+    upto = F.sum("__k").over(_over(state.by).orderBy(F.desc("cnt")))
+    gone = have.withColumn("__m", upto).groupBy(*state.by).agg(F.max(F.when(F.col("__m") > n, F.col("cnt"))).alias("__gone"))
+    off = state.df.groupBy(*state.by).agg(F.max("offset").alias("__off"))
+    rows = _beside(_beside(state.df, gone, state.by), off, state.by)
+    kept = rows.filter(F.col("__gone").isNull() | (F.col("cnt") > F.col("__gone"))).withColumn("offset", F.col("__off") + F.coalesce("__gone", F.lit(0)))
+    return state.like(kept.drop("__gone", "__off"))
 
 
 def frequent_items_merge(a: State, b: State) -> State:
@@ -236,8 +242,7 @@ def frequent_items_merge(a: State, b: State) -> State:
         raise P.IncompatibleStates("summaries of different parameters")
     rows = a.df.unionByName(b.df).groupBy(*by, "item").agg(F.sum("cnt").alias("cnt"))
     off = a.df.groupBy(*by).agg(F.max("offset").alias("offset")).unionByName(b.df.groupBy(*by).agg(F.max("offset").alias("offset"))).groupBy(*by).agg(F.sum("offset").alias("offset"))
-    joined = rows.join(off, by) if by else rows.join(F.broadcast(off))  # one row
-    return _purge(a.like(joined.select(*by, "item", "cnt", "offset")))
+    return _purge(a.like(_beside(rows, off, by).select(*by, "item", "cnt", "offset")))
 
 
 def frequent(state: State, threshold: int | None = None, no_false_positives: bool = True) -> DataFrame:

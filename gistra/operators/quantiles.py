@@ -169,9 +169,13 @@ class TDigest:
         c = rows.withColumn("__upto", upto).withColumn("__total", total).withColumn("cluster", step)
         return c.groupBy(*by, "cluster").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"), F.sum("w").alias("weight"), F.min("low").alias("low"), F.max("high").alias("high"))
 
-    def build(self, df: DataFrame, value: str | Column, by: Sequence[str] = (), weight: str | None = None) -> State:
+    def build(self, df: DataFrame, value: str | Column, by: Sequence[str] = (), weight: str | None = None, shards: int = 1) -> State:
+        """``shards``: values of a group are first digested in so many parts, so that one task need not rank them all."""
         rows = _values(df, value, by) if weight is None else df.select(*by, F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w")).filter("v is not null and w > 0 and not isnan(v)")
         rows = rows.groupBy(*by, "v").agg((F.count("*").cast("double") if weight is None else F.sum("w")).alias("w")).withColumn("low", F.col("v")).withColumn("high", F.col("v"))
+        if shards > 1:
+            parts = self._cluster(rows.withColumn("__shard", F.pmod(F.xxhash64("v"), F.lit(shards))), [*by, "__shard"])
+            rows = parts.select(*by, F.col("mean").alias("v"), F.col("weight").alias("w"), "low", "high")
         return State(self._cluster(rows, by), "tdigest", {"compression": self.compression}, tuple(by), ("cluster",), {})
 
     def merge(self, a: State, b: State) -> State:

@@ -104,7 +104,7 @@ def req_merge(s, d):
 
 def td_quantiles(s, d):
     t = Q.TDigest(100)
-    return _ranked(s, d, t.quantiles(t.build(_price(s, d), "v", ["l_returnflag"]), QS), 0.01)
+    return _ranked(s, d, t.quantiles(t.build(_price(s, d), "v", ["l_returnflag"], shards=8), QS), 0.01)
 
 
 def td_cdf(s, d):
