@@ -21,7 +21,6 @@ def _exists(keys: DataFrame, probes: DataFrame, low: str, high: str, out: str, w
     k = keys.select(F.col("key").cast("long").alias("key")).filter("key is not null")
     b = F.floor(F.col("key") / width).cast("long")
     zones = k.groupBy(b.alias("bucket")).agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most width keys
-    probes = probes.withColumn("__id", F.xxhash64(low, high))
     ends = probes.select(low, high).filter(F.col(low) <= F.col(high)).distinct()
     lo, hi = F.floor(F.col(low) / width).cast("long"), F.floor(F.col(high) / width).cast("long")
     at = ends.select(low, high, F.explode(F.array_distinct(F.array(lo, hi))).alias("bucket"))
@@ -39,7 +38,7 @@ def _exists(keys: DataFrame, probes: DataFrame, low: str, high: str, out: str, w
     z = rank.select((F.col("bucket") + 1).alias("__hi"), F.col("ordinal").alias("__z"))
     between = wide.join(a, "__lo").join(z, "__hi").filter("__z > __a").select(low, high)
     hit = near.union(between).distinct().withColumn("__hit", F.lit(True))
-    return probes.drop("__id").join(hit, [low, high], "left").withColumn(out, F.coalesce("__hit", F.lit(False))).drop("__hit")
+    return probes.join(hit, [low, high], "left").withColumn(out, F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
 class Grafite:
@@ -57,8 +56,8 @@ class Grafite:
         return _exists(keys, probes, low, high, out, self.width)
 
     def may_contain(self, keys: DataFrame, probes: DataFrame, key: str, out: str = "hit") -> DataFrame:
-        got = keys.withColumn("__hit", F.lit(True))
-        return probes.join(got, probes[key] == got["key"], "left").withColumn(out, F.coalesce("__hit", F.lit(False))).drop("__hit", "key") if key != "key" else probes.join(got, "key", "left").withColumn(out, F.coalesce("__hit", F.lit(False))).drop("__hit")
+        got = keys.select(F.col("key").alias("__key"), F.lit(True).alias("__hit"))
+        return probes.join(got, F.col(key) == F.col("__key"), "left").withColumn(out, F.coalesce("__hit", F.lit(False))).drop("__hit", "__key")
 
     def expected_fpr(self, width: Column | int) -> Column:
         return (F.lit(width) if isinstance(width, int) else width) / float(1 << (self.bits - 2))
