@@ -163,8 +163,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     clean = F.aggregate("spans", first, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    keep = docs.drop("base", "spans")
-    return scan(keep, text).withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).select([c for c in names if c in keep.columns])
+    own = {c: f"__own_{c}" for c in ("base", "spans") if c in names}
+    masked = scan(docs.withColumnsRenamed(own), text).withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text)))
+    return masked.select(*(F.col(own.get(c, c)).alias(c) for c in names))
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

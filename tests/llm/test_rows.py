@@ -86,8 +86,8 @@ def test_weak_parts_need_a_partner(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, base int")
     got = sorted((r.doc_id, [s.kind for s in r.spans]) for r in S.scan(df.drop("base")).collect())
     assert got == [(1, ["access", "key"]), (1, ["access", "key"]), (2, []), (3, ["access"])]
-    clean = S.redact(df.drop("base"))
-    assert clean.columns == ["doc_id", "text"]
+    clean = S.redact(df)
+    assert clean.columns == ["doc_id", "text", "base"] and sorted(r.base for r in clean.collect()) == [1, 1, 1, 2]
     assert sorted(r.text for r in clean.collect() if r.doc_id == 1) == ["<secret> then <secret>"] * 2
     assert S.scan(df.limit(0).drop("base")).count() == 0
 
