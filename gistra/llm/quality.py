@@ -34,6 +34,7 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,8 @@ FEATURES = 256
 WIDTH = 3.0
 RIDGE = 1e-2
 BINS = 2048
+#: Tasks that add up the sums of partitions before the driver does.
+GROUPS = 16
 SEED = 20240501
 
 
@@ -154,7 +157,7 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def _sums(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """Per fold: the sums of z z', z y and 1, added up within partitions, then in 16 groups of them."""
+    """Per fold: the sums of z z', z y and 1, added up within partitions, then in GROUPS groups of them."""
     size = FEATURES + len(mean) + 1
 
     def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,8 +171,9 @@ def _sums(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> dict[int, tup
                     t[0] += z.T @ z
                     t[1] += z.T @ y
                     t[2] += len(y)
+        group = TaskContext.get().partitionId() % GROUPS
         for f, (g, c, n) in total.items():
-            yield pd.DataFrame({"fold": [f], "g": [g.tobytes()], "c": [c.tobytes()], "n": [n]})
+            yield pd.DataFrame({"part": [group], "fold": [f], "g": [g.tobytes()], "c": [c.tobytes()], "n": [n]})
 
     def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, list] = {}
@@ -183,7 +187,7 @@ def _sums(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> dict[int, tup
             yield pd.DataFrame({"fold": [f], "g": [g.tobytes()], "c": [c.tobytes()], "n": [n]})
 
     kind = "fold int, g binary, c binary, n double"
-    got = rows.mapInPandas(add, kind).repartition(16).mapInPandas(merge, kind).toLocalIterator()
+    got = rows.mapInPandas(add, f"part int, {kind}").repartitionById(GROUPS, F.col("part")).mapInPandas(merge, kind).toLocalIterator()
     out: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
     for r in got:
         g, c, n = out.get(r.fold, (np.zeros((size, size)), np.zeros(size), 0.0))
