@@ -100,14 +100,33 @@ def slot_bytes(records: DataFrame, size: str = "size", slot: str = "slot") -> li
     return out
 
 
-def first_map(weights: list[int], n_shards: int, n_slots: int = SLOTS) -> SlotMap:
-    """Heaviest slot first, each to the lightest shard; slots above a fair share are split."""
-    weights = weights + [0] * (n_slots - len(weights))
+def heavy_slots(weights: list[int], n_shards: int) -> list[int]:
+    """Slots above a shard's fair share."""
     fair = sum(weights) / n_shards
+    return [s for s, w in enumerate(weights) if w > fair and w > 0]
+
+
+def part_bytes(records: DataFrame, slots: list[int], key: str = "doc_id", size: str = "size", slot: str = "slot") -> dict[int, list[int]]:
+    """Bytes of the sub-slots of the slots to be split; fewer slots than there are shards."""
+    out = {s: [0] * PARTS for s in slots}
+    if slots:
+        rows = records.filter(F.col(slot).isin(slots)).groupBy(F.col(slot).alias("s"), part_of(F.col(key)).alias("p")).agg(F.sum(size).alias("bytes"))
+        for r in rows.collect():
+            out[r.s][r.p] = int(r["bytes"])
+    return out
+
+
+def first_map(weights: list[int], n_shards: int, n_slots: int = SLOTS, parts: dict[int, list[int]] | None = None) -> SlotMap:
+    """Heaviest slot first, each to the lightest shard; slots above a fair share are split.
+
+    ``parts``: bytes of the sub-slots of those, taken as equal where not given.
+    """
+    weights = weights + [0] * (n_slots - len(weights))
     units: list[tuple[float, int, int]] = []
-    split = {s for s, w in enumerate(weights) if w > fair and w > 0}
+    split = set(heavy_slots(weights, n_shards))
     for s, w in enumerate(weights):
-        units += [(w / PARTS, s, i) for i in range(PARTS)] if s in split else [(w, s, -1)]
+        own = (parts or {}).get(s) or [w / PARTS] * PARTS
+        units += [(x, s, i) for i, x in enumerate(own)] if s in split else [(w, s, -1)]
     heap = [(0.0, x) for x in range(n_shards)]
     whole, parts = [0] * n_slots, {s: [0] * PARTS for s in split}
     for w, s, i in sorted(units, key=lambda u: (-u[0], u[1], u[2])):
@@ -190,7 +209,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 16) -> DataFr
         F.crc32(text).cast("long").alias("text_crc32"),
         slot_of(text).alias("__slot"),
     )
-    slots = first_map(slot_bytes(records, slot="__slot"), n_shards)
+    weights = slot_bytes(records, slot="__slot")
+    slots = first_map(weights, n_shards, parts=part_bytes(records, heavy_slots(weights, n_shards), slot="__slot"))
     return assign(records, slots, slot="__slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         F.col("position").alias("slot"), F.lit(None).cast(T.IntegerType()).alias("grown_shard"),
