@@ -13,7 +13,8 @@ block whose summed maxima (and that rest) stay under the threshold is skipped;
 only the others are scored item by item, with all terms. Every item above the
 threshold is retrieved. A retrieved item counts as leaked into the passage if
 the passage has at least ``OVERLAP`` of the five-word shingles of its question
-and of its answer.
+and of its answer, or of the whole item: an answer of few words is lost to one
+edit.
 
 Batches of passages are handled with array operations; the corpus is read once
 for each block of ``ITEMS`` items and never shuffled.
@@ -92,6 +93,7 @@ class Index:
         parts = [parts_of(t) for _, t in items]
         self.question = [grams(q) for q, _ in parts]
         self.answer = [grams(a) for _, a in parts]
+        self.whole = [grams(words_of(t)) for _, t in items]
         words = [words_of(t) for _, t in items]
         self.longest = max(map(len, words), default=0)
         self.terms: dict[str, int] = {}
@@ -182,9 +184,10 @@ class Index:
                     for w, item, score in self.retrieve(pairs // len(self.terms), pairs % len(self.terms), len(owners)):
                         d, at = owners[w]
                         seen = grams(kept[d][at : at + size])
-                        q, a = self.question[item], self.answer[item]
+                        q, a, whole = self.question[item], self.answer[item], self.whole[item]
                         over = len(q & seen) / len(q), len(a & seen) / len(a)
-                        if min(over) >= OVERLAP and score > found[d].get(item, (0.0,))[0]:
+                        leaked = min(over) >= OVERLAP or len(whole & seen) >= OVERLAP * len(whole)
+                        if leaked and score > found[d].get(item, (0.0,))[0]:
                             found[d][item] = (score, *over, at)
             owners.clear()
             w_parts.clear()
