@@ -20,7 +20,8 @@ Batches of passages are handled with array operations; the corpus is read once
 for each block of ``ITEMS`` items and never shuffled.
 
 Defined results for odd input: null and empty texts and items match nothing; an
-item of fewer than five words is matched as one sequence; parts of an item that
+item of fewer than five words is matched as one sequence; in Chinese and
+Japanese text each character is a word; parts of an item that
 are shorter than five words are taken with the words beside them; texts of any
 length are searched whole; repeated rows and repeated items are reported each;
 an empty table on either side gives an empty result; extra columns are ignored
@@ -55,10 +56,15 @@ COMMON = 0.05
 PASSAGE = 128
 CHUNK = 60_000
 WORD = re.compile(r"\w+")
+#: Scripts without spaces: each character is a word.
+LONE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+SPACELESS = re.compile(f"[{LONE}]")
+WORD_OR_LONE = re.compile(rf"[{LONE}]|[^\W{LONE}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return (WORD if text.isascii() or not SPACELESS.search(text) else WORD_OR_LONE).findall(text)
 
 
 def parts_of(text: str | None) -> tuple[list[str], list[str]]:
@@ -94,6 +100,7 @@ class Index:
         self.question = [grams(q) for q, _ in parts]
         self.answer = [grams(a) for _, a in parts]
         self.whole = [grams(words_of(t)) for _, t in items]
+        self.size = [min(GRAM, len(words_of(t))) for _, t in items]  # of its shingles, and of both its parts'
         words = [words_of(t) for _, t in items]
         self.longest = max(map(len, words), default=0)
         self.terms: dict[str, int] = {}
@@ -183,7 +190,7 @@ class Index:
                 if len(pairs):
                     for w, item, score in self.retrieve(pairs // len(self.terms), pairs % len(self.terms), len(owners)):
                         d, at = owners[w]
-                        seen = grams(kept[d][at : at + size])
+                        seen = grams(kept[d][at : at + size], self.size[item])
                         q, a, whole = self.question[item], self.answer[item], self.whole[item]
                         over = len(q & seen) / len(q), len(a & seen) / len(a)
                         leaked = min(over) >= OVERLAP or len(whole & seen) >= OVERLAP * len(whole)

@@ -29,3 +29,16 @@ def test_edited_copies_are_those_of_all_pairs(spark):
             if len(whole & seen) >= 0.8 * len(whole) or all(len(p & seen) >= 0.8 * len(p) for p in parts):
                 want.add((d, i))
     assert got == want
+
+
+def test_short_items_inside_long_texts(spark):
+    items = {1: "Capital of Peru?", 2: "Lima", 3: "水の沸点は何度ですか？百度です。", 4: "two short words now"}
+    docs = {
+        1: "filler words " * 300 + "the capital of Peru, they say " + "more words " * 200,
+        2: "filler words " * 300 + "of Peru the capital " + "two short words later " * 30,
+        3: "x " * 200 + "試験です水の沸点は何度ですか？百度です。終わり" + " y" * 200,
+        4: "they left Lima, two short words. now it ends " + "z " * 400,
+    }
+    frames = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in D.leaks(*frames).collect()) == [(1, 1), (3, 3), (4, 2), (4, 4)]
+    assert [r.doc_id for r in D.clean(*frames).collect()] == [2]
