@@ -6,10 +6,12 @@ containers and whether one of those is furniture (navigation, footers, adverts,
 forms, comments and the like, by element or by class, id and role). The
 text-to-tag ratio of the lines, with furniture at zero, is smoothed by a
 Gaussian kernel and split into two clusters at a threshold; the lines of the
-upper cluster mark the content. The content region is the innermost container
-that holds nearly all the marked text, an article or main element where there is
-one, and every line of the region that is not furniture is kept, short ones
-too, so nothing of an article is lost to the threshold.
+upper cluster mark the content. The content region holds nearly all the marked
+text: the articles or main elements where they do, else the innermost container
+that does. Every line of the region that is not furniture is kept, short ones
+too, so nothing of an article is lost to the threshold. A name that only contains
+a word of furniture (``has-sidebar``), or that wraps an article or all there is,
+does not make furniture of a container with most of the marked text.
 
 One pass, no shuffle; each page is handled in its row.
 
@@ -64,8 +66,9 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # name, container number, furniture
-        self.out: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.open: list[tuple[str, int, bool, int]] = []  # name, container number, furniture, number among those named as furniture
+        self.out: list[tuple[str, int, tuple[int, ...], bool, tuple[int, ...]]] = []
+        self.wraps: list[bool] = []  # of those named as furniture: may be a wrapper of content
         self.kinds: list[str] = []
         self.text: list[str] = []
         self.tags = 0
@@ -73,13 +76,15 @@ class Lines(HTMLParser):
     def line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            path = tuple(n for _, n, _ in self.open if n >= 0)
-            self.out.append((text, self.tags, path, any(f for _, _, f in self.open)))
+            path = tuple(n for _, n, _, _ in self.open if n >= 0)
+            self.out.append((text, self.tags, path, any(f for _, _, f, _ in self.open), tuple(m for _, _, _, m in self.open if m >= 0)))
         self.text, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCKS
-        hidden = tag in FURNITURE or (tag not in PAGE and self._named(attrs))
+        sure = tag in FURNITURE or (tag not in PAGE and self._hidden(attrs))
+        named = self._named(attrs) if tag not in PAGE and not sure else 0
+        hidden = sure or named > 0
         if block or (hidden and tag not in VOID):
             self.line()
         self.tags += 1
@@ -94,18 +99,33 @@ class Lines(HTMLParser):
             if tag in CONTAINERS:
                 number = len(self.kinds)
                 self.kinds.append(tag)
-            self.open.append((tag, number, hidden))
+            if tag in ("article", "main"):
+                for _, _, _, m in self.open:
+                    if m >= 0:
+                        self.wraps[m] = True
+            if named:
+                self.wraps.append(named == 1 or tag == "article")
+            self.open.append((tag, number, sure, len(self.wraps) - 1 if named else -1))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as browsers do, a slash closes nothing
 
     @staticmethod
-    def _named(attrs: list[tuple[str, str | None]]) -> bool:
+    def _named(attrs: list[tuple[str, str | None]]) -> int:
+        """2 where a class or id is made of furniture words only, 1 where one only contains such a word, else 0."""
+        found = 0
         for k, v in attrs:
-            if k in ("class", "id"):
-                if v and not FURNITURE_NAMES.isdisjoint(NAME.findall(v.lower())):
-                    return True
-            elif k == "role":
+            if k in ("class", "id") and v:
+                for name in v.lower().split():
+                    words = NAME.findall(name)
+                    if not FURNITURE_NAMES.isdisjoint(words):
+                        found = max(found, 2 if FURNITURE_NAMES.issuperset(words) else 1)
+        return found
+
+    @staticmethod
+    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+        for k, v in attrs:
+            if k == "role":
                 if v and v.lower() in FURNITURE_ROLES:
                     return True
             elif k == "hidden" or (k == "aria-hidden" and v == "true"):
@@ -128,7 +148,7 @@ class Lines(HTMLParser):
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        known = tag in BLOCKS or any(tag == name for name, _, _ in self.open)
+        known = tag in BLOCKS or any(tag == name for name, _, _, _ in self.open)
         if known:
             self.line()
             for k in range(len(self.open) - 1, -1, -1):
@@ -163,6 +183,35 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def marks(lines: list[tuple], sizes: np.ndarray, kept: list[int]) -> list[int]:
+    """The lines of the upper cluster of smoothed text-to-tag ratios; all but ``kept`` have ratio zero."""
+    ratio = np.zeros(len(lines))
+    for k in kept:
+        ratio[k] = sizes[k] / max(1, lines[k][1])
+    even = smooth(ratio)
+    border = threshold(even)
+    return [k for k in kept if even[k] >= border] or kept
+
+
+def wrappers(parser: Lines, sizes: np.ndarray) -> set[int]:
+    """Those named as furniture that hold most of the marked text and may wrap content, or hold all there is."""
+    if not parser.wraps:
+        return set()
+    lines = parser.out
+    kept = [k for k, x in enumerate(lines) if not x[3]]
+    if not kept:
+        return set()
+    marked = marks(lines, sizes, kept)
+    total, held, most = sum(sizes[k] for k in marked), {}, {}
+    for k in kept:
+        for m in set(lines[k][4]):
+            most[m] = most.get(m, 0) + 1
+    for k in marked:
+        for m in set(lines[k][4]):
+            held[m] = held.get(m, 0.0) + sizes[k]
+    return {m for m, size in held.items() if (parser.wraps[m] or most[m] == len(kept)) and size > total / 2}
+
+
 def extract(html: str | None) -> str:
     """Blocks of the main text, joined by an empty line."""
     if not html:
@@ -172,33 +221,24 @@ def extract(html: str | None) -> str:
     parser.close()
     parser.line()
     lines, kinds = parser.out, parser.kinds
-    kept = [k for k, x in enumerate(lines) if not x[3]]
+    sizes = np.array([len(x[0]) for x in lines], dtype=float)
+    free = wrappers(parser, sizes)
+    kept = [k for k, x in enumerate(lines) if not x[3] and free.issuperset(x[4])]
     if not kept:
         return ""
-    inside = kept
+    marked = marks(lines, sizes, kept)
+    total = sum(sizes[k] for k in marked)
     for kind in ("article", "main"):
         own = [k for k in kept if any(kinds[n] == kind for n in lines[k][2])]
-        if own:
-            inside = own
-            break
-    sizes = np.array([len(x[0]) for x in lines], dtype=float)
-    ratio = np.zeros(len(lines))
-    for k in inside:
-        ratio[k] = sizes[k] / max(1, lines[k][1])
-    even = smooth(ratio)
-    border = threshold(even)
-    marked = [k for k in inside if even[k] >= border] or inside
-    if inside is kept:
-        # no article: the innermost container with nearly all the marked text
-        total = sum(sizes[k] for k in marked)
-        held: dict[int, float] = {}
-        for k in marked:
-            for n in lines[k][2]:
-                held[n] = held.get(n, 0.0) + sizes[k]
-        region = max((n for n, s in held.items() if s >= SHARE * total and kinds[n] not in ("ul", "ol", "table", "tbody", "tr", "td", "dl", "li")), default=-1)
-        if region >= 0:
-            inside = [k for k in kept if region in lines[k][2]]
-    return "\n\n".join(lines[k][0] for k in inside)
+        if own and sum(sizes[k] for k in set(own).intersection(marked)) >= SHARE * total:
+            return "\n\n".join(lines[k][0] for k in own)
+    # else the innermost container with nearly all the marked text
+    held: dict[int, float] = {}
+    for k in marked:
+        for n in lines[k][2]:
+            held[n] = held.get(n, 0.0) + sizes[k]
+    region = max((n for n, s in held.items() if s >= SHARE * total and kinds[n] not in ("ul", "ol", "table", "tbody", "tr", "td", "dl", "li")), default=-1)
+    return "\n\n".join(lines[k][0] for k in kept if region < 0 or region in lines[k][2])
 
 
 def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
