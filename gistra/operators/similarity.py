@@ -43,16 +43,26 @@ class MinHash:
         return pairs.join(x, a).join(y, b).withColumn("jaccard", equal / self.num_perm).drop("__x", "__y")
 
     def similar(self, state: State, threshold: float, bands: int = 16) -> DataFrame:
-        """Pairs of sets that agree in all minima of a band, verified against the threshold."""
+        """Pairs of sets that agree in all minima of a band, verified against the threshold.
+
+        Sets with equal signatures are one node, named by the least of them: each
+        other is paired with it (1), and nodes of a band are all compared.
+        """
         (name,) = state.by
         rows = self.num_perm // bands
-        sig = self.signatures(state)
+        sets = self.signatures(state)
+        nodes = sets.groupBy("signature").agg(F.min(name).alias(name))
         keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, rows)))
-        at = sig.select(name, F.explode(keys).alias("key"))
-        crowd = at.groupBy("key").agg(F.min(name).alias("a"), F.count("*").alias("n")).filter("n > 1")
-        # to the least member of each band group, so a group costs its size and not its square
-        pairs = at.join(crowd, "key").filter(F.col(name) > F.col("a")).select("a", F.col(name).alias("b")).distinct()
-        return self.jaccard(state, state, pairs, "a", "b").filter(F.col("jaccard") >= threshold)
+        at = nodes.select(name, "signature", F.explode(keys).alias("key"))
+        x = at.select("key", F.col(name).alias("a"), F.col("signature").alias("__x"))
+        y = at.select("key", F.col(name).alias("b"), F.col("signature").alias("__y"))
+        equal = F.size(F.filter(F.zip_with("__x", "__y", lambda p, q: p == q), lambda e: e))
+        # compared where they meet, so only pairs at the threshold leave the join
+        near = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (equal / self.num_perm >= threshold))
+        near = near.select("a", "b", (equal / self.num_perm).alias("jaccard")).distinct()
+        first = nodes.select(F.col(name).alias("a"), "signature")
+        copies = sets.join(first, "signature").filter(F.col("a") < F.col(name)).select("a", F.col(name).alias("b"), F.lit(1.0).alias("jaccard"))
+        return near.union(copies.filter(F.col("jaccard") >= threshold))
 
 
 class SimHash:

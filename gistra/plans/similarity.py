@@ -57,6 +57,12 @@ def minhash_similar(s, d):
     return m.similar(m.build(t, "token", ["item_id"]), 1.0, 8).filter("b = a + 1000000").select("a", "b")
 
 
+def minhash_similar_documents(s, d):
+    """All documents at 0.8: at most 6 of 32 minima differ, so one of 8 bands at least is equal."""
+    m = S.MinHash(32)
+    return m.similar(m.build(_doc_tokens(s, d), "token", ["doc_id"]), 0.8, 8).select("a", "b", r6("jaccard"))
+
+
 def simhash(s, d):
     return _SH.fingerprints(_SH.build(_doc_tokens(s, d), "token", ["doc_id"]))
 
@@ -322,6 +328,8 @@ _XOR = lambda i: f"min(xor((({H(1, 'x')} % 2147483648) + {i} * ({H(2, 'x')} % 21
 _mh = lambda rows, by, x, n: f"select {by}, {', '.join(_XOR(i) for i in n)} from (select distinct {by}, {x} as x from {rows} where {x}::VARCHAR <> '') group by 1"
 _sh = lambda rows, by, x, w: f"select {by}, ({' + '.join(f'(case when sum(case when (h >> {i}) & 1 = 1 then w else -w end) > 0 then {1 << i} else 0 end)' for i in range(60))})::BIGINT as fingerprint from (select {by}, {H(0, x)} as h, sum({w}) as w from {rows} where {x}::VARCHAR <> '' group by {by}, {x}) group by 1"
 _SHD = _sh(_TOK("doc_id"), "doc_id", "token", "1")
+_M32 = ", ".join(f"m{i}" for i in range(32))
+_EQ = " + ".join(f"(x.m{i} = y.m{i})::INT" for i in range(32))
 _E = "(select event_id, user_id, event_type, floor(epoch(ts))::BIGINT as t from events)"
 _PR = "(select distinct lo, lo + case when lo % 5 = 0 then 0 when lo % 7 = 0 then 900 else lo % 11 end as hi from (select r * 17 % 61000 as lo from range(4000) t(r)))"
 _KEYS = "(select distinct l_orderkey as key from lineitem where (l_quantity >= 49 or l_orderkey between 3000 and 9000) and l_orderkey not between 20000 and 24000)"
@@ -337,6 +345,7 @@ QUERIES = [
     ("s01_minhash", minhash, _mh(_TOK("lang"), "lang", "token", range(0, 32, 8))),
     ("s02_jaccard", minhash_jaccard, f"with m as ({_mh('events', 'event_type', 'user_id', range(32))}) select x.event_type as a, y.event_type as b, round(({' + '.join(f'(x.m{i} = y.m{i})::INT' for i in range(32))}) / 32, 6) as jaccard from m x join m y on x.event_type < y.event_type"),
     ("s03_minhash_merge", minhash_merge, _mh(_TOK("lang"), "lang", "token", range(0, 32, 8))),
+    ("s02_similar_documents", minhash_similar_documents, f"with m as ({_mh(_TOK('doc_id'), 'doc_id', 'token', range(32))}), g as (select min(doc_id) as doc_id, {_M32} from m group by {_M32}) select x.doc_id as a, y.doc_id as b, round(({_EQ}) / 32, 6) as jaccard from g x join g y on x.doc_id < y.doc_id where {_EQ} >= 26 union all select g.doc_id, m.doc_id, 1.0::double from m join g using ({_M32}) where m.doc_id > g.doc_id"),
     ("s02_similar_sets", minhash_similar, "select item_id as a, item_id + 1000000 as b from benchmark"),
     ("s05_simhash", simhash, _SHD),
     ("s04_simhash_weighted", simhash_weighted, _sh("lineitem", "l_suppkey", "l_partkey", "l_quantity::BIGINT")),
