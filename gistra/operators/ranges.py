@@ -122,3 +122,24 @@ class Memento:
 
     def stats(self, rows: DataFrame, order: str = "key") -> DataFrame:
         return rows.agg(F.count("*").alias("len"), F.min("key").alias("low"), F.max("key").alias("high"), (F.count("*") / self.capacity).alias("load"))
+
+    @staticmethod
+    def expansions(df: DataFrame, key: str, order: str, block: int = 100_000) -> DataFrame:
+        """How often a key lay outside the range of all keys before it, in the order of ``order``, then of the key.
+
+        Rows are dealt into ranges of ``order`` by cut points from its quantiles.
+        Each range starts with the least and greatest key of the ranges before it,
+        so only rows of one range are ever put in order together.
+        """
+        rows = df.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("at")).filter("key is not null and at is not null")
+        parts = rows.count() // block + 1
+        cuts = sorted(set(rows.approxQuantile("at", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+        zone = F.size(F.filter(F.array(*(F.lit(int(c)) for c in cuts)), lambda c: c < F.col("at"))) if cuts else F.lit(0)
+        rows = rows.withColumn("zone", zone)
+        zones = rows.groupBy("zone").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+        w = Window.orderBy("zone").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        before = zones.select("zone", F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi"))
+        inside = Window.partitionBy("zone").orderBy("at", "key").rowsBetween(Window.unboundedPreceding, -1)
+        seen = rows.select("zone", "key", F.min("key").over(inside).alias("__lo"), F.max("key").over(inside).alias("__hi")).join(before, "zone")
+        grew = (F.col("key") < F.least("__lo", "lo")) | (F.col("key") > F.greatest("__hi", "hi"))  # the first key of all has nothing before it
+        return seen.agg(F.count_if(grew).alias("expansions"))

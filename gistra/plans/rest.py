@@ -8,6 +8,7 @@ from gistra.operators import cardinality as C
 from gistra.operators import frequency as Q
 from gistra.operators import membership as M
 from gistra.operators import quantiles as K
+from gistra.operators import ranges as R
 
 from gistra.operators import reconcile as X
 from gistra.operators.state import State
@@ -157,6 +158,11 @@ def memento_expansions(s, d):
     return t.select(grew.alias("g")).agg(F.count_if("g").alias("expansions"))
 
 
+def memento_expansions_whole(s, d):
+    """Over all orders, with keys spread so widely that the range grows for long."""
+    return R.Memento.expansions(table(s, d, "orders").withColumn("k", F.col("o_custkey") * 7919 % 1_000_003), "k", "o_orderkey")
+
+
 _entry = lambda f: f"(select least(h % {f.buckets}, xor(h % {f.buckets}, ({H(3, '((h >> ' + str(60 - f.fp_bits) + ') | 1)')}) % {f.buckets})) as bucket, (h >> {60 - f.fp_bits}) | 1 as fp from (select {H(0, 'o_orderkey')} as h from {PM._F}))"
 _RBITS = PM.bits_sql(PM._F, "o_orderkey", PM._RB)
 
@@ -184,6 +190,7 @@ QUERIES = [
     ("r01_grafite_build", grafite_build, f"select key from {PS._KEYS}"),
     ("r04_grf_gaps", grf_gaps, f"select high - low as width, keys, count(*) as count from {PS._SEG} group by all"),
     ("r07_memento_expansions", memento_expansions, "select count(*) filter (k < lo or k > hi) as expansions from (select k, min(k) over w as lo, max(k) over w as hi from (select o_custkey * 7919 % 1000 as k, o_orderkey from orders where o_orderkey < 2000) window w as (order by o_orderkey rows between unbounded preceding and 1 preceding))"),
+    ("r07_memento_expansions_whole", memento_expansions_whole, "select count(*) filter (k < lo or k > hi) as expansions from (select k, min(k) over w as lo, max(k) over w as hi from (select o_custkey * 7919 % 1000003 as k, o_orderkey from orders) window w as (order by o_orderkey, k rows between unbounded preceding and 1 preceding))"),
     ("x02_iblt_insert_delete", iblt_insert_delete, f"select * from (select cell, count(*) as cnt, bit_xor(w) as word from (select w, j * {PS._IB.third} + {H(7, chr(39) + chr(39) + '||w||' + chr(39) + '/' + chr(39) + '||j')} % {PS._IB.third} as cell from (select {PS._IW} as w from customer where c_custkey % 97 <> 3 and c_custkey % 2 = 1), range(3) t(j)) group by 1) where cnt <> 0 or word <> 0"),
     ("x01_iblt_stats", iblt_stats, "select 'num_cells' as name, 1200::BIGINT as value union all select 'hashes', 3 union all select 'cell_bytes', 24"),
     ("u08_univmon_stats", univmon_stats, f"select layer, count(*) as items, sum(cnt)::BIGINT as cnt from (select *, row_number() over (partition by layer order by cnt desc, item) as n from {PS._LAY('events', 'user_id', '1')}) where n <= greatest(10, floor(1000 / (layer + 1))) group by 1"),

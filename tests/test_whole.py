@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from gistra import catalog
+from gistra.operators import ranges as R
 from gistra.operators import similarity as S
 from test_queries import TABLES, rows
 
@@ -46,3 +47,21 @@ def test_similar_sets_are_those_of_all_pairs(spark):
 def test_similar_documents(spark, data, duck):
     same(spark, data, duck, "s02_similar_documents")
     same(spark, data, duck, "s02_similar_sets")
+
+
+@pytest.mark.parametrize("block", [100_000, 40])
+def test_expansions_of_all_rows(spark, block):
+    rng = random.Random(6)
+    kept = [(rng.randrange(-9, 9) * n + rng.randrange(50), n) for n in range(500)] + [(None, 3), (7, None)]
+    low = high = None
+    want = 0
+    for k, _ in kept[:500]:
+        want += low is not None and (k < low or k > high)
+        low, high = (k, k) if low is None else (min(low, k), max(high, k))
+    rng.shuffle(kept)
+    got = R.Memento.expansions(spark.createDataFrame(kept, "k long, n long"), "k", "n", block).first().expansions
+    assert got == want
+
+
+def test_expansions_query(spark, data, duck):
+    same(spark, data, duck, "r07_memento_expansions_whole")
