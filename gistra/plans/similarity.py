@@ -323,6 +323,55 @@ def hashes(s, d):
     return table(s, d, "customer").select("c_custkey", h60(F.col("c_custkey"), 0).alias("h0"), h60(F.col("c_name"), 1).alias("h1"))
 
 
+def _whole_keys(s, d):
+    """The keys of all orders of one status: the others are the holes."""
+    return table(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"))
+
+
+def _whole_probes(s, d):
+    """A range from the key of every order on."""
+    p = table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("lo"))
+    return p.withColumn("hi", F.col("lo") + F.when(F.col("lo") % 5 == 0, 0).when(F.col("lo") % 7 == 0, 900).otherwise(F.col("lo") % 11)).distinct()
+
+
+def grafite_build_whole(s, d):
+    return _GF.build(_whole_keys(s, d), "key")
+
+
+def grafite_whole(s, d):
+    return _GF.may_contain_range(_GF.build(_whole_keys(s, d), "key"), _whole_probes(s, d), "lo", "hi")
+
+
+def grafite_point_whole(s, d):
+    return _GF.may_contain(_GF.build(_whole_keys(s, d), "key"), _whole_probes(s, d).select("lo"), "lo")
+
+
+def grafite_stats_whole(s, d):
+    return _GF.stats(_GF.build(_whole_keys(s, d), "key")).withColumn("expected_fpr", r6(_GF.expected_fpr(16), "expected_fpr"))
+
+
+def grf_segments_whole(s, d):
+    return _GR.segments(_whole_keys(s, d), "key").select("low", "high", "keys")
+
+
+def grf_gaps_whole(s, d):
+    return _GR.segments(_whole_keys(s, d), "key").select((F.col("high") - F.col("low")).alias("width"), "keys").groupBy("width", "keys").count()
+
+
+def grf_range_whole(s, d):
+    return _GR.may_contain_range(_whole_keys(s, d), "key", _whole_probes(s, d), "lo", "hi")
+
+
+def grf_stats_whole(s, d):
+    return _GR.stats(_GR.segments(_whole_keys(s, d), "key"))
+
+
+def memento_whole(s, d):
+    keys = _whole_keys(s, d)
+    m = R.Memento(max(1, keys.count()))
+    return m.may_contain_range(m.build(keys, "key"), _whole_probes(s, d), "lo", "hi")
+
+
 _TOK = lambda by: f"(select {by}, unnest(string_split(text, ' ')) as token from documents)"
 _XOR = lambda i: f"min(xor((({H(1, 'x')} % 2147483648) + {i} * ({H(2, 'x')} % 2147483648)), {i * 0x9E3779B1 % (1 << 31)}) % 2147483648) as m{i}"
 _mh = lambda rows, by, x, n: f"select {by}, {', '.join(_XOR(i) for i in n)} from (select distinct {by}, {x} as x from {rows} where {x}::VARCHAR <> '') group by 1"
@@ -335,6 +384,10 @@ _PR = "(select distinct lo, lo + case when lo % 5 = 0 then 0 when lo % 7 = 0 the
 _KEYS = "(select distinct l_orderkey as key from lineitem where (l_quantity >= 49 or l_orderkey between 3000 and 9000) and l_orderkey not between 20000 and 24000)"
 _HIT = f"select lo, hi, exists (select 1 from {_KEYS} where key between lo and hi) as hit from {_PR} p"
 _SEG = f"""(select min(key) as low, max(key) as high, count(*) as keys from (select *, sum(case when gap > 2 * mean then 1 else 0 end) over (order by key) as s from (select key, key - lag(key) over (order by key) as gap, (select (max(key) - min(key)) / (count(*) - 1) from {_KEYS}) as mean from {_KEYS})) group by s)"""
+_PRW = "(select distinct o_orderkey as lo, o_orderkey + case when o_orderkey % 5 = 0 then 0 when o_orderkey % 7 = 0 then 900 else o_orderkey % 11 end as hi from orders)"
+_KEYSW = "(select distinct o_orderkey as key from orders where o_orderstatus = 'F')"
+_HITW = f"select lo, hi, coalesce(key <= hi, false) as hit from {_PRW} p asof left join {_KEYSW} k on p.lo <= k.key"
+_SEGW = _SEG.replace(_KEYS, _KEYSW)
 _VOS = lambda: f"(select *, row_number() over (order by p) as n, max(case when rn = 51 then 1 / p end) over () as tau from (select *, row_number() over (order by p) as rn from (select o_orderkey, round(o_totalprice) as w, ({H(12, 'o_orderkey')} + 1) / {float(1 << 60)!r} / round(o_totalprice) as p from orders)) where rn <= 51)"
 _SLR = lambda rows: f"select (h >> 50)::INT as idx, {rho_sql('(h & 1125899906842623)', 50)}::INT as rank, max(t) as ts from (select {H(0, 'user_id')} as h, t from {rows}) group by all"
 _LAY = lambda rows, x, v: f"(select layer, item, cnt from (select item, cnt, unnest(range(0, least(length(regexp_extract(bin(h), '0*$')), {_UM.layers - 1}) + 1))::INT as layer from (select {x} as item, sum({v})::BIGINT as cnt, {H(4, x)} as h from {rows} group by {x})))"
@@ -378,6 +431,15 @@ select event_type, round(case when {_alpha_m2(10)!r} / (z + 1024 - used) <= 2560
     ("r05_grf_range", grf_range, _HIT),
     ("r06_grf_stats", grf_stats, f"select count(*) as segment_count, sum(keys)::BIGINT as key_count, min(low) as min_key, max(high) as max_key, max(keys) as largest_segment from {_SEG}"),
     ("r08_memento_range", memento, _HIT),
+    ("r01_grafite_build_whole", grafite_build_whole, f"select key from {_KEYSW}"),
+    ("r02_grafite_range_whole", grafite_whole, _HITW),
+    ("r02_grafite_point_whole", grafite_point_whole, f"select lo, lo in (select key from {_KEYSW}) as hit from {_PRW}"),
+    ("r03_grafite_stats_whole", grafite_stats_whole, f"select count(*) as key_count, min(key) as min_key, max(key) as max_key, 8 as bits_per_key, 0.25::double as expected_fpr from {_KEYSW}"),
+    ("r04_grf_segments_whole", grf_segments_whole, f"select * from {_SEGW}"),
+    ("r04_grf_gaps_whole", grf_gaps_whole, f"select high - low as width, keys, count(*) as count from {_SEGW} group by all"),
+    ("r05_grf_range_whole", grf_range_whole, _HITW),
+    ("r06_grf_stats_whole", grf_stats_whole, f"select count(*) as segment_count, sum(keys)::BIGINT as key_count, min(low) as min_key, max(high) as max_key, max(keys) as largest_segment from {_SEGW}"),
+    ("r08_memento_range_whole", memento_whole, _HITW),
     ("r07_memento_stats", memento_stats, f"select count(*) as len, min(key) as low, max(key) as high, round(count(*) / 10000000, 6) as load from {_KEYS.replace('select distinct', 'select')}"),
     ("x03_iblt_subtract", iblt_cells, f"select * from {_IBC} where cnt <> 0 or word <> 0"),
     ("x04_iblt_decode", iblt_decode, "select 'insert' as side, c_custkey from customer where c_custkey % 97 <> 3 and c_custkey % 89 = 5 union all select 'remove', c_custkey from customer where c_custkey % 97 = 3 and c_custkey % 89 <> 5"),

@@ -65,3 +65,16 @@ def test_expansions_of_all_rows(spark, block):
 
 def test_expansions_query(spark, data, duck):
     same(spark, data, duck, "r07_memento_expansions_whole")
+
+
+WHOLE = [n for n in catalog.queries() if n[0] == "r" and n.endswith("_whole") and n != "r07_memento_expansions_whole"]
+
+
+def test_range_queries_take_all_keys(spark, data, duck):
+    """Keys and probes grow with the orders and cover their whole range."""
+    assert {n[:3] for n in WHOLE} == {"r01", "r02", "r03", "r04", "r05", "r06", "r08"}
+    for name in WHOLE:
+        same(spark, data, duck, name)
+    (n,) = duck.execute("select count(distinct o_orderkey) from orders").fetchone()
+    hits = catalog.queries()["r02_grafite_range_whole"](spark, data).groupBy("hit").count().collect()
+    assert sum(r["count"] for r in hits) == n and len(hits) == 2
