@@ -26,6 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op8_secret_scans": secrets.op8_secret_scans,
         "op9_url_filters": urls.OP9_SQL,
     }

@@ -78,3 +78,10 @@ def test_range_queries_take_all_keys(spark, data, duck):
     (n,) = duck.execute("select count(distinct o_orderkey) from orders").fetchone()
     hits = catalog.queries()["r02_grafite_range_whole"](spark, data).groupBy("hit").count().collect()
     assert sum(r["count"] for r in hits) == n and len(hits) == 2
+
+
+def test_every_twin_is_sql():
+    import __spark_entry__
+
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
