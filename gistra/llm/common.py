@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one is set only where none is named."""
+    """The checkpoint folder of the session; where none is named, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     have = sc._jsc.sc().getCheckpointDir()
     if not have.isDefined():
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gistra-checkpoint-"))
         have = sc._jsc.sc().getCheckpointDir()
     return have.get()
@@ -32,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver notice which shuffles and checkpoints nothing refers to any more, so that their files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
