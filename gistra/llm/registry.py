@@ -26,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_secret_scans": secrets.OP8_SQL,
         "op9_url_filters": urls.OP9_SQL,
     }

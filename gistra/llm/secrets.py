@@ -11,9 +11,10 @@ scope-wide bins it can reach, parts of a text meet in a bin by an equality
 semi-join, and the distance is verified. A bin is as wide as the scope, so it
 holds a bounded number of parts.
 
-Scanning is done by expressions in one pass without a shuffle. Texts with weak
-candidates and complements (few) go through the interval join, keyed by the
-text's digest; the rest of the corpus does not move.
+Scanning is done by expressions without a shuffle. Only the parts found in
+texts with weak candidates and complements go through the interval join, keyed
+by the text's digest; the linked candidates come back by a join that moves no
+text where they are few.
 
 Only DataFrame expressions are used: no Python code runs on executors.
 
@@ -26,10 +27,12 @@ are ignored by ``scan``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistra.llm.common import table, whole_text
+from gistra.llm.common import cut, table, whole_text
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,10 +42,14 @@ HEX = "[0-9a-f]{24,}"
 #: Weak candidates, kept only when linked: mixed 40-character keys, service endpoints.
 KEY = "(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = "(?:https?|s3|wss?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:@%/?&=+-]{4,}"
+#: What a key or a long hexadecimal string begins with.
+RUN = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{24}"
 #: Which parts complete which weak candidate.
 COMPLETES = {"key": ("access", "endpoint"), "endpoint": ("access", "key", "assign", "hex")}
 #: Code points between parts that still belong to one credential.
 SCOPE = 400
+#: Texts with linked candidates that are told to all tasks; more are joined.
+TOLD = 20_000
 
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 BASE = KINDS[:3]
@@ -80,15 +87,23 @@ def _if(test: Column, spans: Column) -> Column:
     return F.when(test, spans).otherwise(_none())
 
 
-def find(text: Column) -> dict[str, Column]:
-    """Spans by kind; a cheap test goes before each."""
-    return {
-        "assign": _if(text.rlike(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""), _spans(text, ASSIGN, "assign", 6, 2)),
-        "access": _if(text.contains("AKIA"), _spans(text, ACCESS, "access", 20)),
-        "hex": _if(text.rlike("[0-9a-f]{24}"), _spans(text, HEX, "hex")),
-        "key": _if(text.rlike("[A-Za-z0-9+/]{40}"), _spans(text, KEY, "key")),
-        "endpoint": _if(text.contains("://"), _spans(text, ENDPOINT, "endpoint")),
+def _once(value: Column, test: Callable[[Column], Column]) -> Column:
+    """``test`` of a value that is computed once."""
+    return F.exists(F.array(value), test)
+
+
+def find(text: Column, kinds: tuple[str, ...] = KINDS) -> dict[str, Column]:
+    """Spans by kind; cheap tests go before each pattern."""
+    named = _once(F.lower(text), lambda t: t.contains("passw") | t.contains("secret") | t.contains("token") | t.contains("apikey") | t.contains("api_key"))
+    run = text.rlike(RUN)  # a hexadecimal string and a key are both parts of such a run
+    all_kinds = {
+        "assign": lambda: _if(named & text.rlike(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""), _spans(text, ASSIGN, "assign", 6, 2)),
+        "access": lambda: _if(text.contains("AKIA"), _spans(text, ACCESS, "access", 20)),
+        "hex": lambda: _if(run & text.rlike("[0-9a-f]{24}"), _spans(text, HEX, "hex")),
+        "key": lambda: _if(run & text.rlike("[A-Za-z0-9+/]{40}"), _spans(text, KEY, "key")),
+        "endpoint": lambda: _if(text.contains("://"), _spans(text, ENDPOINT, "endpoint")),
     }
+    return {k: all_kinds[k]() for k in kinds}
 
 
 def ordered(spans: Column) -> Column:
@@ -134,21 +149,32 @@ def linked(texts: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """Adds ``base`` and ``spans``, arrays of (kind, start, end), to every row."""
+    """Adds ``base`` and ``spans``, arrays of (kind, start, end), to every row.
+
+    Texts that could have a weak candidate are looked at first, and the linked
+    candidates of all are written; every row is then scanned once.
+    """
     body = whole_text(text)
-    found = docs.withColumns({f"__{k}": c for k, c in find(body).items()})
+    helpers = [f"__{k}" for k in KINDS]
     kinds = {k: F.col(f"__{k}") for k in KINDS}
-    base = ordered(F.concat(*(kinds[k] for k in BASE)))
     may = _may_link(kinds)
-    helpers = [f"__{k}" for k in KINDS]
-    still = found.filter(~may).withColumn("base", base).withColumn("spans", F.col("base")).drop(*helpers)
-    moving = found.filter(may).withColumn("__digest", F.md5(body))
-    weak = linked(moving.select("__digest", *helpers).dropDuplicates(["__digest"]), scope)
-    moved = (
-        moving.withColumn("base", base).drop(*helpers).join(weak, "__digest", "left")
-        .withColumn("spans", ordered(F.concat("base", F.coalesce("__weak", _none())))).drop("__digest", "__weak")
-    )
-    return still.unionByName(moved)
+    weak_ones = docs.select(body.alias("__body")).filter(F.col("__body").contains("://") | F.col("__body").rlike(RUN))
+    parts = weak_ones.select(F.md5("__body").alias("__digest"), *(c.alias(f"__{k}") for k, c in find(F.col("__body")).items()))
+    weak = cut(linked(cut(parts.filter(may)).dropDuplicates(["__digest"]), scope))
+    n = weak.count()
+
+    def spans(found: DataFrame) -> DataFrame:
+        return found.withColumn("spans", ordered(F.concat("base", F.coalesce("__weak", _none())))).drop("__digest", "__weak")
+
+    if not n:  # no candidate of the table is linked
+        found = docs.withColumns({f"__{k}": c for k, c in find(body, BASE).items()})
+        return found.withColumn("base", ordered(F.concat(*(kinds[k] for k in BASE)))).withColumn("spans", F.col("base")).drop(*helpers)
+    found = docs.withColumns({f"__{k}": c for k, c in find(body).items()})
+    found = found.withColumn("base", ordered(F.concat(*(kinds[k] for k in BASE)))).withColumn("__digest", F.when(may, F.md5(body))).drop(*helpers)
+    if n <= TOLD:
+        return spans(found.join(F.broadcast(weak), "__digest", "left"))
+    still = found.filter("__digest is null").withColumn("spans", F.col("base")).drop("__digest")
+    return still.unionByName(spans(found.filter("__digest is not null").join(weak, "__digest", "left")))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -174,3 +200,43 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", *map(n, BASE), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
+
+
+#: The same result by DuckDB, from the contract's patterns and the rule for links; what Java's pattern of a key says by looking
+#: around is said by whole runs of its characters.
+OP8_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+runs as (
+    select doc_id, 'assign' as kind, 0 as place, regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) as found,
+        regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) as inside,
+        string_split_regex(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') as gaps from d
+    union all select doc_id, 'access', 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), string_split_regex(t, 'AKIA[A-Z0-9]+') from d
+    union all select doc_id, 'hex', 2, regexp_extract_all(t, '[0-9a-f]+', 0), regexp_extract_all(t, '[0-9a-f]+', 0), string_split_regex(t, '[0-9a-f]+') from d
+    union all select doc_id, 'key', 3, regexp_extract_all(t, '[A-Za-z0-9+/=_-]+', 0), regexp_extract_all(t, '[A-Za-z0-9+/=_-]+', 0), string_split_regex(t, '[A-Za-z0-9+/=_-]+') from d
+    union all select doc_id, 'endpoint', 4, regexp_extract_all(t, '(?:https?|s3|wss?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:@%/?&=+-]{4,}', 0),
+        regexp_extract_all(t, '(?:https?|s3|wss?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:@%/?&=+-]{4,}', 0),
+        string_split_regex(t, '(?:https?|s3|wss?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:@%/?&=+-]{4,}') from d),
+each as (
+    select doc_id, kind, place, unnest(found) as x, unnest(inside) as g, unnest(gaps[1:len(found)]) as gap, unnest(range(1, len(found) + 1)) as i
+    from runs where len(found) > 0),
+placed as (
+    select *, sum(length(gap) + length(x)) over (partition by doc_id, kind order by i) as finish from each),
+parts as (
+    select doc_id, kind, place, finish - length(x) as start, finish from placed
+    where (kind = 'assign' and length(g) >= 6) or (kind = 'access' and length(x) >= 20) or (kind = 'hex' and length(x) >= 24) or kind = 'endpoint'
+        or (kind = 'key' and length(x) = 40 and regexp_full_match(x, '[A-Za-z0-9+/]+') and regexp_matches(x, '[A-Z]') and regexp_matches(x, '[a-z]') and regexp_matches(x, '[0-9]'))),
+spans as (
+    select * from parts where place < 3
+    union all
+    select c.* from parts c where c.place >= 3 and exists (
+        select 1 from parts o where o.doc_id = c.doc_id and o.start - c.finish <= 400 and c.start - o.finish <= 400
+            and ((c.kind = 'key' and o.kind in ('access', 'endpoint')) or (c.kind = 'endpoint' and o.kind in ('access', 'key', 'assign', 'hex'))))),
+told as (
+    select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+        string_agg(kind || ':' || start::bigint || ':' || finish::bigint, ',' order by start, place, finish) filter (place < 3) as base,
+        string_agg(kind || ':' || start::bigint || ':' || finish::bigint, ',' order by start, place, finish) as spans
+    from spans group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join told on told.doc_id = d.doc_id
+"""
