@@ -6,18 +6,23 @@ the document, each divided by the score the item gives itself, so one threshold
 holds for all items. Passages are windows that overlap by half and are more
 than twice as long as the longest item, so every occurrence lies whole in one.
 
-Retrieval is exact with block-max pruning. Postings are kept in blocks of items
-with the greatest impact of each term in each block. Terms found in many items
-are not followed at first; what they could add at most is kept per block. A
-block whose summed maxima (and that rest) stay under the threshold is skipped;
-only the others are scored item by item, with all terms. Every item above the
-threshold is retrieved. A retrieved item counts as leaked into the passage if
+Retrieval is exact block-max WAND. A posting list is ordered by item and has
+the greatest impact of the list and of each block of items. Many passages are
+first looked at together: a passage goes no further if the maxima of its lists
+stay under the threshold, or if in no block the maxima of the block do (terms
+found in many items are not followed here; what they could add at most is kept
+per block). The lists of each passage left are then walked: the pivot is the
+first item at which the maxima of the lists up to it reach the threshold; where
+the maxima of the pivot's block don't, the lists leap past the block, else they
+leap to the pivot, which is scored. Every item above the threshold is
+retrieved. A retrieved item counts as leaked into the passage if
 the passage has at least ``OVERLAP`` of the five-word shingles of its question
 and of its answer, or of the whole item: an answer of few words is lost to one
 edit.
 
-Batches of passages are handled with array operations; the corpus is read once
-for each block of ``ITEMS`` items and never shuffled.
+The corpus is read once for each index and never shuffled. Items are dealt by
+hash to indexes of about ``ITEMS`` items; statistics are aggregated over all
+items by Spark, and the driver handles one index at a time.
 
 Defined results for odd input: null and empty texts and items match nothing; an
 item of fewer than five words is matched as one sequence; in Chinese and
@@ -32,6 +37,8 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistra.llm.common import table
+from gistra.llm.common import cut, table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -123,15 +130,19 @@ class Index:
         np.add.at(rest, self.item[often[term]], self.impact[often[term]])
         self.rest = np.zeros(self.blocks)
         np.maximum.at(self.rest, np.arange(len(items)) // BLOCK, rest)
-        # block maxima of the followed terms, as rows (term, block, maximum)
-        follow = ~often[term]
-        key = term[follow].astype(np.int64) * self.blocks + self.item[follow] // BLOCK
+        # maxima of blocks, as rows (term, block, maximum), and of whole lists
+        key = term.astype(np.int64) * self.blocks + self.item // BLOCK
         uniq, back = np.unique(key, return_inverse=True)
         top = np.zeros(len(uniq))
-        np.maximum.at(top, back, self.impact[follow])
+        np.maximum.at(top, back, self.impact)
         self.top_block, self.top = uniq % self.blocks, top
         self.top_start = np.searchsorted(uniq // self.blocks, np.arange(v + 1))
+        self.most = np.zeros(v)
+        np.maximum.at(self.most, term, self.impact)
         self.follow = ~often
+        # for leaps within lists, which are quicker in plain arrays
+        self.items, self.impacts = array("q", self.item.tolist()), array("d", self.impact.tolist())
+        self.tops, self.top_blocks = array("d", self.top.tolist()), array("q", self.top_block.tolist())
 
     @staticmethod
     def _rows(start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,29 +157,69 @@ class Index:
 
         ``window`` and ``term`` are the distinct pairs, ordered by window.
         """
+        border = THRESHOLD - 1e-9
+        hopeful = np.bincount(window, self.most[term], n_windows) >= border
+        kept = hopeful[window]
+        window, term = window[kept], term[kept]
         followed = self.follow[term]
         w, t = window[followed], term[followed]
         rows, owner = self._rows(self.top_start, t)
         key = w[owner] * self.blocks + self.top_block[rows]
         uniq, back = np.unique(key, return_inverse=True)
         bound = np.bincount(back, self.top[rows], len(uniq)) + self.rest[uniq % self.blocks] if len(uniq) else np.zeros(0)
-        live = set(uniq[bound >= THRESHOLD - 1e-9].tolist())
-        # windows without any followed term are still held against blocks whose rest alone would do
-        alone = np.nonzero(self.rest >= THRESHOLD - 1e-9)[0]
-        if len(alone):
-            live.update((np.unique(window)[:, None] * self.blocks + alone).ravel().tolist())
-        if not live:
-            return []
-        keys = np.array(sorted(live), dtype=np.int64)
+        live = set((uniq[bound >= border] // self.blocks).tolist())
+        if (self.rest >= border).any():  # a block could do without any followed term
+            live.update(np.unique(window).tolist())
         out = []
-        first, last = np.searchsorted(window, keys // self.blocks), np.searchsorted(window, keys // self.blocks, side="right")
-        for k, a, b in zip(keys.tolist(), first.tolist(), last.tolist()):
-            low = k % self.blocks * BLOCK
-            terms = term[a:b]
-            rows, _ = self._rows(self.start, terms)
-            rows = rows[(self.item[rows] >= low) & (self.item[rows] < low + BLOCK)]
-            scores = np.bincount(self.item[rows] - low, self.impact[rows], BLOCK)
-            out += [(k // self.blocks, low + int(i), float(scores[i])) for i in np.nonzero(scores >= THRESHOLD - 1e-9)[0]]
+        for x in sorted(live):
+            a, b = np.searchsorted(window, (x, x + 1))
+            out += [(x, item, score) for item, score in self.walk(term[a:b].tolist(), border)]
+        return out
+
+    def block_top(self, term: int, block: int) -> float:
+        at = bisect_left(self.top_blocks, block, self.top_start[term], self.top_start[term + 1])
+        return self.tops[at] if at < self.top_start[term + 1] and self.top_blocks[at] == block else 0.0
+
+    def walk(self, terms: list[int], border: float) -> list[tuple[int, float]]:
+        """(item, score) of the items whose impacts on ``terms`` sum up to the border, by block-max WAND."""
+        out = []
+        # cursors: item, place, end, greatest impact, term
+        lists = [[self.items[self.start[t]], int(self.start[t]), int(self.start[t + 1]), float(self.most[t]), t] for t in terms]
+
+        def leap(cursor: list, item: int) -> None:
+            cursor[1] = at = bisect_left(self.items, item, cursor[1], cursor[2])
+            cursor[0] = self.items[at] if at < cursor[2] else -1
+
+        while lists:
+            lists.sort()
+            total, last = 0.0, -1
+            for last, x in enumerate(lists):
+                total += x[3]
+                if total >= border:
+                    break
+            else:
+                break  # no item from here on can reach the border
+            pivot = lists[last][0]
+            while last + 1 < len(lists) and lists[last + 1][0] == pivot:
+                last += 1
+            block = pivot // BLOCK
+            if sum(self.block_top(x[4], block) for x in lists[: last + 1]) < border:
+                to = (block + 1) * BLOCK
+                if last + 1 < len(lists):
+                    to = min(to, lists[last + 1][0])
+                for x in lists[: last + 1]:
+                    leap(x, to)
+            elif lists[0][0] == pivot:
+                score = sum(self.impacts[x[1]] for x in lists[: last + 1])
+                if score >= border:
+                    out.append((pivot, score))
+                for x in lists[: last + 1]:
+                    leap(x, pivot + 1)
+            else:
+                for x in lists[:last]:
+                    if x[0] < pivot:
+                        leap(x, pivot)
+            lists = [x for x in lists if x[0] >= 0]
         return out
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float, int]]]:
@@ -226,14 +277,32 @@ class Index:
         return [[(i, *v) for i, v in sorted(f.items())] for f in found]
 
 
-def indexes(items: DataFrame, key: str, text: str) -> list[Index]:
-    """One index for each ITEMS items; document frequencies are those of all items."""
-    kept = [(r[0], r[1]) for r in items.select(key, text).toLocalIterator() if words_of(r[1])]
-    df: Counter[str] = Counter()
-    for _, t in kept:
-        df.update(set(words_of(t)))
-    mean = sum(len(words_of(t)) for _, t in kept) / max(1, len(kept))
-    return [Index(kept[k : k + ITEMS], df, len(kept), mean) for k in range(0, len(kept), ITEMS)]
+def indexes(items: DataFrame, key: str, text: str, size: int = 0) -> Iterator[Index]:
+    """Indexes of about ``size`` items (ITEMS), one at a time; statistics are those of all items."""
+    size = size or ITEMS
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(t)
+                terms = sorted(set(words))
+                if terms:
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(terms), pa.int64()), pa.array(terms), pa.array([len(words)] + [0] * (len(terms) - 1), pa.int64())], names=["h", "term", "words"])
+
+    rows = items.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
+    rows = rows.withColumn("h", F.xxhash64("id", "t"))
+    terms = cut(rows.select("h", "t").mapInArrow(spread, "h long, term string, words long"))
+    n, words = terms.agg(F.count_if(F.col("words") > 0), F.sum("words")).first()
+    if not n:
+        return
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    parts = -(-n // size)
+    for k in range(parts):
+        own = F.pmod("h", F.lit(parts)) == k
+        kept = sorted(((r.id, r.t) for r in rows.filter(own).toLocalIterator() if words_of(r.t)), key=lambda x: (x[0] is None, x))
+        if kept:
+            told = df if parts == 1 else df.join(terms.filter(own).select("term").distinct(), "term", "left_semi")
+            yield Index(kept, {r.term: r.df for r in told.toLocalIterator()}, n, words / n)
 
 
 LEAK = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"

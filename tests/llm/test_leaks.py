@@ -42,3 +42,42 @@ def test_short_items_inside_long_texts(spark):
     frames = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in D.leaks(*frames).collect()) == [(1, 1), (3, 3), (4, 2), (4, 4)]
     assert [r.doc_id for r in D.clean(*frames).collect()] == [2]
+
+
+def test_walk_finds_every_item_above_the_threshold():
+    """Block-max WAND against plain sums of impacts, with common terms and repeated items."""
+    import numpy as np
+
+    rng = random.Random(5)
+    words = ["c%d" % k for k in range(12)] + ["r%d" % k for k in range(300)]
+    pick = lambda: words[min(int(rng.expovariate(0.02)), 311)]
+    items = [(i, " ".join(pick() for _ in range(rng.randint(3, 40)))) for i in range(90)] + [(90, "c0 c1 c2"), (91, "c0 c1 c2")]
+    df = {}
+    for _, t in items:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    index = D.Index(items, df, len(items), sum(len(t.split()) for _, t in items) / len(items))
+    passages = []
+    for _ in range(200):
+        base = rng.choice(items)[1].split()
+        passages.append(set(rng.sample(base, rng.randint(1, len(base)))) | {pick() for _ in range(rng.randrange(60))})
+    pairs = np.array(sorted((w, index.terms[t]) for w, p in enumerate(passages) for t in p if t in index.terms))
+    got = {(w, i): round(s, 9) for w, i, s in index.retrieve(pairs[:, 0], pairs[:, 1], len(passages))}
+    want = {}
+    for w, p in enumerate(passages):
+        for t in p & index.terms.keys():
+            k = index.terms[t]
+            for at in range(index.start[k], index.start[k + 1]):
+                want[w, int(index.item[at])] = want.get((w, int(index.item[at])), 0) + float(index.impact[at])
+    assert got == {k: round(s, 9) for k, s in want.items() if s >= D.THRESHOLD - 1e-9}
+    assert len(got) > 100
+
+
+def test_many_indexes_find_what_one_does(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(i, " ".join("x%d" % rng.randrange(200) for _ in range(30))) for i in range(50)]
+    docs = [(d, " ".join(["y"] * d + [items[d % 50][1]])) for d in range(60)] + [(99, items[3][1] + " " + items[4][1])]
+    told = lambda: sorted(map(tuple, D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()))
+    one = told()
+    monkeypatch.setattr(D, "ITEMS", 7)
+    assert told() == one and len(one) == 62
