@@ -62,6 +62,8 @@ BINS = 2048
 #: Tasks that add up the sums of partitions before the driver does.
 GROUPS = 16
 SEED = 20240501
+#: Keys of labels that are sent to all tasks at most.
+TOLD = 500_000
 
 
 def _mask(chars: str) -> np.ndarray:
@@ -213,6 +215,13 @@ def isotonic(x: np.ndarray, positive: np.ndarray, total: np.ndarray) -> tuple[np
     return b[:, 0] / b[:, 2], b[:, 1] / b[:, 2]
 
 
+def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs that have a label; the labels' keys are sent to all tasks where they are few."""
+    keys = labels.select(F.col(key).alias("__key")).filter("__key is not null").distinct()
+    near = F.broadcast(keys) if keys.count() <= TOLD else keys
+    return docs.join(near, F.col(key) == F.col("__key"), "left_semi")
+
+
 def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Model:
     """rows(key, x) and labels(key, label 0/1) -> a calibrated model; held-out rows are not used."""
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.ceil(F.avg(label) - 0.5).cast("int").alias("y"))
@@ -251,7 +260,7 @@ def apply(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("x").flatten()).reshape(batch.num_rows, -1)
+            x = np.array(batch.column("x").flatten()).reshape(batch.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(model.score(x))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
