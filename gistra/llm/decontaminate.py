@@ -13,8 +13,8 @@ stay under the threshold, or if in no block the maxima of the block do (terms
 found in many items are not followed here; what they could add at most is kept
 per block). The lists of each passage left are then walked: the pivot is the
 first item at which the maxima of the lists up to it reach the threshold; where
-the maxima of the pivot's block don't, the lists leap past the block, else they
-leap to the pivot, which is scored. Every item above the threshold is
+the maxima of the pivot's block don't, the lists leap to the next block where
+they do, else they leap to the pivot, which is scored. Every item above the threshold is
 retrieved. A retrieved item counts as leaked into the passage if
 the passage has at least ``OVERLAP`` of the five-word shingles of its question
 and of its answer, or of the whole item: an answer of few words is lost to one
@@ -55,7 +55,7 @@ THRESHOLD = 0.5
 OVERLAP = 0.8
 GRAM = 5
 #: Items in a block of postings; items in one index, which bounds what tasks receive.
-BLOCK = 8
+BLOCK = 4
 ITEMS = 20_000
 #: A term in more than this share of items is not followed when candidates are searched.
 COMMON = 0.05
@@ -142,7 +142,7 @@ class Index:
         self.follow = ~often
         # for leaps within lists, which are quicker in plain arrays
         self.items, self.impacts = array("q", self.item.tolist()), array("d", self.impact.tolist())
-        self.tops, self.top_blocks = array("d", self.top.tolist()), array("q", self.top_block.tolist())
+        self.starts, self.mosts = array("q", self.start.tolist()), array("d", self.most.tolist())
 
     @staticmethod
     def _rows(start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,28 +167,47 @@ class Index:
         key = w[owner] * self.blocks + self.top_block[rows]
         uniq, back = np.unique(key, return_inverse=True)
         bound = np.bincount(back, self.top[rows], len(uniq)) + self.rest[uniq % self.blocks] if len(uniq) else np.zeros(0)
-        live = set((uniq[bound >= border] // self.blocks).tolist())
-        if (self.rest >= border).any():  # a block could do without any followed term
-            live.update(np.unique(window).tolist())
+        live = uniq[bound >= border]
+        alone = np.nonzero(self.rest >= border)[0]
+        if len(alone):  # these blocks could do without any followed term
+            live = np.unique(np.concatenate([live, (np.unique(window)[:, None] * self.blocks + alone).ravel()]))
+        # the bounds of the blocks left, now with all terms
+        kept = np.isin(window, np.unique(live // self.blocks))
+        window, term = window[kept], term[kept]
+        rows, owner = self._rows(self.top_start, term)
+        key = window[owner] * self.blocks + self.top_block[rows]
+        among = np.isin(key, live)
+        uniq, back = np.unique(key[among], return_inverse=True)
+        live = uniq[np.bincount(back, self.top[rows[among]], len(uniq)) >= border] if len(uniq) else uniq
         out = []
-        for x in sorted(live):
+        hopes: dict[int, list[int]] = {}
+        for k in live.tolist():
+            hopes.setdefault(k // self.blocks, []).append(k % self.blocks)
+        for x, blocks in hopes.items():
             a, b = np.searchsorted(window, (x, x + 1))
-            out += [(x, item, score) for item, score in self.walk(term[a:b].tolist(), border)]
+            out += [(x, item, score) for item, score in self.walk(term[a:b].tolist(), border, blocks)]
         return out
 
-    def block_top(self, term: int, block: int) -> float:
-        at = bisect_left(self.top_blocks, block, self.top_start[term], self.top_start[term + 1])
-        return self.tops[at] if at < self.top_start[term + 1] and self.top_blocks[at] == block else 0.0
+    def walk(self, terms: list[int], border: float, blocks: list[int]) -> list[tuple[int, float]]:
+        """(item, score) of the items whose impacts on ``terms`` sum up to the border, by block-max WAND.
 
-    def walk(self, terms: list[int], border: float) -> list[tuple[int, float]]:
-        """(item, score) of the items whose impacts on ``terms`` sum up to the border, by block-max WAND."""
+        ``blocks``: in ascending order, those whose maxima reach the border.
+        """
         out = []
-        # cursors: item, place, end, greatest impact, term
-        lists = [[self.items[self.start[t]], int(self.start[t]), int(self.start[t + 1]), float(self.most[t]), t] for t in terms]
+        hope = iter(blocks)
+        block = next(hope)
+        items, starts, mosts = self.items, self.starts, self.mosts
+        # cursors: item, place, end, greatest impact; all begin at the first of the blocks
+        lists = []
+        for t in terms:
+            end = starts[t + 1]
+            at = bisect_left(items, block * BLOCK, starts[t], end)
+            if at < end:
+                lists.append([items[at], at, end, mosts[t]])
 
         def leap(cursor: list, item: int) -> None:
-            cursor[1] = at = bisect_left(self.items, item, cursor[1], cursor[2])
-            cursor[0] = self.items[at] if at < cursor[2] else -1
+            cursor[1] = at = bisect_left(items, item, cursor[1], cursor[2])
+            cursor[0] = items[at] if at < cursor[2] else -1
 
         while lists:
             lists.sort()
@@ -199,16 +218,17 @@ class Index:
                     break
             else:
                 break  # no item from here on can reach the border
+            if block == self.blocks:
+                break
             pivot = lists[last][0]
             while last + 1 < len(lists) and lists[last + 1][0] == pivot:
                 last += 1
-            block = pivot // BLOCK
-            if sum(self.block_top(x[4], block) for x in lists[: last + 1]) < border:
-                to = (block + 1) * BLOCK
-                if last + 1 < len(lists):
-                    to = min(to, lists[last + 1][0])
-                for x in lists[: last + 1]:
-                    leap(x, to)
+            while block < pivot // BLOCK:
+                block = next(hope, self.blocks)
+            if block > pivot // BLOCK:  # all lists leap past the blocks between
+                for x in lists:
+                    if x[0] < block * BLOCK:
+                        leap(x, block * BLOCK)
             elif lists[0][0] == pivot:
                 score = sum(self.impacts[x[1]] for x in lists[: last + 1])
                 if score >= border:
