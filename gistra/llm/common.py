@@ -12,7 +12,20 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+#: Rows and bytes of an Arrow batch at most: Spark's 10,000 rows of whole texts can outgrow a Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to those of BATCH; lower ones stay."""
+    for name, most in BATCH.items():
+        now = int(spark.conf.get(name, "0"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
