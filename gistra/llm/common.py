@@ -19,8 +19,8 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execut
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's limits of Arrow batches to those of BATCH; lower ones stay."""
     for name, most in BATCH.items():
-        now = int(spark.conf.get(name, "0"))
-        if now <= 0 or now > most:
+        now = spark.conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, most)
 
 
