@@ -46,7 +46,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Fixed value: characters with the Unicode property White_Space, as a class body.
 SPACES = "\t-\r \x85\xa0  -     　"
 #: Chunks that a worker keeps in the younger of its two generations.
-KEEP = 500_000
+KEEP = 100_000
 #: Texts between two walks; bounds the trie.
 STEP = 512
 
