@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistra.llm.common import cut
+from gistra.llm.common import remove, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,18 +17,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     partial aggregation, and the jump is an equality join that Spark may split
     where one label has many nodes.
     """
-    both = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
+    spark = links.sparkSession
+    both, edges = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
     if both.isEmpty():
         return both.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"))
+    labels, folder = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"))
     while True:
         offered = both.join(labels.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "label")
         least = offered.union(labels).groupBy("node").agg(F.min("label").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"))
         was = labels.withColumnRenamed("label", "was")
-        after = cut(after.join(was, "node").select("node", "label", (F.col("label") < F.col("was")).alias("moved")))
-        moved = after.filter("moved").limit(1).count()
-        labels = after.select("node", "label")
+        after, new = written(after.join(was, "node").select("node", "label", (F.col("label") < F.col("was")).alias("moved")))
+        moved = not after.filter("moved").isEmpty()
+        remove(spark, folder)
+        labels, folder = after.select("node", "label"), new
         if not moved:
+            remove(spark, edges)
             return labels
