@@ -26,7 +26,7 @@ class MinHash:
     def build(self, df: DataFrame, item: str | Column, by: Sequence[str]) -> State:
         """One row per set; a column per permutation, so nothing is exploded."""
         col = F.col(item) if isinstance(item, str) else item
-        items = df.select(*by, col.alias("__item")).filter("__item is not null").distinct()
+        items = df.select(*by, col.alias("__item")).filter("__item is not null")  # minima ignore repeats: one shuffle, of partial minima
         h = items.select(*by, (hashed(F.col("__item"), 1, self.fast) % self.MOD).alias("a"), (hashed(F.col("__item"), 2, self.fast) % self.MOD).alias("b"))
         rows = h.select(*by, *((((F.col("a") + i * F.col("b")).bitwiseXOR((i * 0x9E3779B1) % self.MOD)) % self.MOD).alias(f"m{i}") for i in range(self.num_perm)))
         return State.of(rows, "minhash", {"num_perm": self.num_perm, "fast": self.fast}, by, [], {f"m{i}": "min" for i in range(self.num_perm)})
