@@ -21,6 +21,8 @@ from gistra.operators.state import State
 
 BLOCK_BITS = 512
 COUNTER_MAX = 15
+#: Bits of a filter that probes look up in one packed array (8 MB).
+PACKED_BITS = 1 << 26
 
 
 def _items(df: DataFrame, item: str | Column, name: str = "__item") -> DataFrame:
@@ -48,7 +50,35 @@ class Bloom:
         at = _items(df, item).distinct().select(F.explode(positions(F.col("__item"), self.k, self.m, self.fast)).alias("pos"))
         return State.of(at, "bloom", {"m": self.m, "k": self.k, "fast": self.fast}, (), ["pos"], {})
 
+    def _hashes(self, item: Column) -> Column:
+        """What the positions of an item follow from."""
+        return F.struct((hashed(item, 1, self.fast) % self.m).alias("h1"), (hashed(item, 2, self.fast) % self.m).alias("h2"))
+
+    def _place(self, h: str, i: int) -> Column:
+        """Position ``i`` of the k that ``build`` sets."""
+        return F.pmod(F.col(f"{h}.h1") + i * F.col(f"{h}.h2"), F.lit(self.m))
+
+    def packed(self, state: State) -> DataFrame:
+        """One row: the bits as an array of 64-bit words."""
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))
+        words = state.df.groupBy(F.expr("pos div 64").alias("__w")).agg(F.bit_or(bit).alias("__b"))
+        dense = state.df.sparkSession.range(-(-self.m // 64)).join(words, F.col("id") == F.col("__w"), "left").select("id", F.coalesce("__b", F.lit(0)).alias("b"))
+        return dense.agg(F.sort_array(F.collect_list(F.struct("id", "b"))).alias("w")).select(F.col("w.b").alias("words"))
+
     def contains(self, state: State, probes: DataFrame, item: str, out: str = "maybe") -> DataFrame:
+        """Filters of at most ``PACKED_BITS`` are looked up in one packed array, without a shuffle of the probes; larger ones are joined."""
+        if self.m > PACKED_BITS:
+            return self._joined(state, probes, item, out)
+        words, hit = self.packed(state).scalar(), F.lit(True)
+        # a generator of one row, so that no filter is pushed below it and the hashes are computed once
+        rows = probes.select("*", F.explode(F.array(self._hashes(probes[item]))).alias("__h"))
+        for i in range(self.k):
+            p = self._place("__h", i)
+            word = F.get(words, F.call_function("div", p, F.lit(64)).cast("int"))
+            hit = hit & (F.call_function("shiftrightunsigned", word, (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        return rows.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__h")
+
+    def _joined(self, state: State, probes: DataFrame, item: str, out: str) -> DataFrame:
         # repeated positions of an item count once
         rows = probes.select(F.col(item).alias("__item")).distinct().select("__item", F.array_distinct(positions(F.col("__item"), self.k, self.m, self.fast)).alias("__p"))
         hit = rows.select("__item", F.size("__p").alias("__need"), F.explode("__p").alias("pos")).join(state.df, "pos").groupBy("__item", "__need").count().filter("count = __need").select("__item")
@@ -84,7 +114,14 @@ class BlockedBloom(Bloom):
         at = _items(df, item).distinct().select(F.explode(self._at(F.col("__item"))).alias("pos"))
         return State.of(at, "blocked_bloom", {"m": self.m, "k": self.k, "fast": self.fast}, (), ["pos"], {})
 
-    def contains(self, state: State, probes: DataFrame, item: str, out: str = "maybe") -> DataFrame:
+    def _hashes(self, item: Column) -> Column:
+        h1, h2 = hashed(item, 1, self.fast) % BLOCK_BITS, hashed(item, 2, self.fast) % BLOCK_BITS
+        return F.struct((hashed(item, 0, self.fast) % self.blocks * BLOCK_BITS).alias("h0"), h1.alias("h1"), h2.alias("h2"))
+
+    def _place(self, h: str, i: int) -> Column:
+        return F.col(f"{h}.h0") + F.pmod(F.col(f"{h}.h1") + i * F.col(f"{h}.h2"), F.lit(BLOCK_BITS))
+
+    def _joined(self, state: State, probes: DataFrame, item: str, out: str) -> DataFrame:
         """All bits of an item lie in one block, so a probe is one row: the block's words are joined once."""
         words = state.df.groupBy(F.expr(f"pos div {BLOCK_BITS}").alias("__block")).agg(F.collect_set(F.col("pos") % BLOCK_BITS).alias("__bits"))  # at most 512 a block
         block = (hashed(F.col(item), 0, self.fast) % self.blocks).alias("__block")

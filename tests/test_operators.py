@@ -90,6 +90,20 @@ def test_filters_lose_nothing(spark, make):
     assert not any(r.maybe for r in f.contains(f.build(members.limit(0), "id"), probes.limit(5), "id").collect())
 
 
+@pytest.mark.parametrize("make", [lambda: M.Bloom(500, 0.2), lambda: M.BlockedBloom(500, 0.2)])
+def test_packed_and_joined_lookups_agree(spark, make, monkeypatch):
+    f = make()
+    probes = spark.range(3000).select(F.when(F.col("id") < 2990, F.col("id")).alias("k"))
+    for keys in (spark.range(500), spark.range(0)):
+        state = f.build(keys, "id")
+        packed = sorted(map(repr, f.contains(state, probes, "k").collect()))
+        with monkeypatch.context() as m:
+            m.setattr(M, "PACKED_BITS", 0)
+            assert packed == sorted(map(repr, f.contains(state, probes, "k").collect()))
+        assert sum("maybe=True" in r for r in packed) >= keys.count()
+        assert not any("k=None, maybe=True" in r for r in packed)
+
+
 def test_fuse_ribbon_learned(spark):
     members, probes = spark.range(2000).select("id", F.concat(F.lit("key"), "id").alias("name")), spark.range(6000).select("id", F.concat(F.lit("key"), "id").alias("name"))
     fuse = M.BinaryFuse(2000)
