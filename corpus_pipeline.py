@@ -27,7 +27,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies (five-word shingles, Jaccard 0.8)."""
+    """Keeps the document with the least id of each group of near copies (five-word shingles, Jaccard 0.8).
+
+    Operator 2's fingerprints and variants link first, checked by Jaccard; an exact search adds the links that they are too coarse for.
+    """
     small_batches(spark)
     return copies.dedup(docs)
 

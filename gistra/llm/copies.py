@@ -1,9 +1,11 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard coefficient of at least 0.8.
 
-Operator 2 links fingerprints at two of 64 bits, which is far from this
-similarity (see the README), so the pipeline's stage searches the sets
-themselves. The search is exact. Under any fixed order of all shingles, two
-sets that reach the threshold t share one of each other's first
+The search starts with operator 2: each set has a fingerprint of 64 bits, and
+the operator's deletion variants find the fingerprints within two bits, from
+which verified pairs come. Such fingerprints are far closer than this
+similarity asks (see the README), so what still lies in different classes is
+searched among the sets themselves, and no link is lost. Under any fixed order of
+all shingles, two sets that reach the threshold t share one of each other's first
 n - ceil(t n) + 1, so sets are indexed under those only. The order is by hash,
 with shingles that a sample of the documents shows to be common put last; the
 order decides how many sets meet by chance and never which are found. What is
@@ -15,9 +17,10 @@ two is folded to the other's width. The rest are compared whole, from the text.
 
 Sets under a key with few members meet pair by pair. A fuller key (a large
 group of near copies) only has to be connected: its members meet one of them,
-another one under each key. Of all who meet, each set is first compared with
-the one whose sketch is nearest. Then only what still lies in different classes
-is compared: first the other pairs that met, then the members of full keys
+another one under each key. Of all who meet across the classes of the
+fingerprints, each set is first compared with the one whose sketch is nearest.
+Then only what still lies in different classes is compared: first the other
+pairs that met, then the members of full keys
 outside the key's largest class with those of other classes. Members of one class need no
 comparing, so a group of copies costs its size.
 
@@ -41,6 +44,8 @@ from pyspark.sql import functions as F
 
 from gistra.llm.common import cut, tidy
 from gistra.llm.graph import components
+from gistra.llm.simhash import links as fingerprint_links
+from gistra.llm.simhash import majority
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -105,7 +110,7 @@ def _narrow(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, key: str, text: str, threshold: float, common: np.ndarray | None) -> DataFrame:
-    """(key, set_id, n, s, w) of every row: s is the prefix, w the sketch; without a table of common shingles s is the set."""
+    """(key, set_id, n, s, w, fp) of every row: s is the prefix, w the sketch, fp the fingerprint; without a table of common shingles s is the set."""
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +120,13 @@ def _sets(docs: DataFrame, key: str, text: str, threshold: float, common: np.nda
                 sets = [shingles(x.as_py()) for x in part.column(1)]
                 ids, n = pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int32())
                 if common is None:
-                    lists, bits = pa.array(sets, kind), pa.nulls(len(sets), kind)
+                    lists, bits, fps = pa.array(sets, kind), pa.nulls(len(sets), kind), pa.nulls(len(sets), pa.int64())
                 else:
                     lists, bits = pa.array([prefix(s, threshold, common) for s in sets], kind), pa.array(map(sketch, sets), kind)
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, n, lists, bits], names=["key", "set_id", "n", "s", "w"])
+                    fps = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, n, lists, bits, fps], names=["key", "set_id", "n", "s", "w", "fp"])
 
-    return _narrow(docs, key, text).mapInArrow(run, "key long, set_id long, n int, s array<long>, w array<long>")
+    return _narrow(docs, key, text).mapInArrow(run, "key long, set_id long, n int, s array<long>, w array<long>, fp long")
 
 
 def common_shingles(docs: DataFrame, key: str, text: str, sample: float = SAMPLE, least: int = LEAST) -> np.ndarray:
@@ -275,27 +281,46 @@ def _met(nodes: DataFrame, crowd: int, threshold: float) -> tuple[DataFrame, Dat
     return cut(few.union(star.select(*_ordered(F.col("set_id"), F.col("mid.set_id")))).distinct()), full
 
 
+def _close(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect all sets whose fingerprints operator 2 links, through the least set of each fingerprint."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = nodes.select("fp", "set_id")
+    least = cut(of.groupBy("fp").agg(F.min("set_id").alias("a")).repartition(parts, "fp"))  # each will become 64 rows, so many small tasks
+    equal = of.join(least, "fp").filter(F.col("set_id") != F.col("a")).select("a", F.col("set_id").alias("b"))
+    linked = fingerprint_links(least.select("fp"))
+    ends = linked.join(least.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b")
+    return cut(equal.union(ends.select(*_ordered(F.col("x"), F.col("y")))))
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
     """(key, set_id, component, label): the least key of everything reachable over pairs at the threshold."""
     spark = docs.sparkSession
     rows = cut(_sets(docs, key, text, threshold, common_shingles(docs, key, text)))
     tidy(spark)
-    # rows of a set have the same n, s and w
-    nodes = rows.groupBy("set_id").agg(F.min(F.coalesce("key", F.lit(NO_KEY))).alias("least"), *(F.max(c).alias(c) for c in ("n", "s", "w")))
-    pairs, full = _met(nodes, crowd, threshold)
+    # rows of a set have the same n, s, w and fp
+    nodes = rows.groupBy("set_id").agg(F.min(F.coalesce("key", F.lit(NO_KEY))).alias("least"), *(F.max(c).alias(c) for c in ("n", "s", "w", "fp")))
+    # the method of operator 2 first; each set is compared with the one nearest to it of those whose fingerprints link
+    close = cut(_possible(_close(nodes), nodes, threshold))
     tidy(spark)
-    pairs = cut(_possible(pairs, nodes, threshold))
-    first = cut(_nearest(pairs))
+    first = cut(_nearest(close))
     links = _verified(first, nodes, docs, key, text, threshold)
     labels = components(links)
-    # then the pairs across classes, at last the rest of full keys across the classes there are by then
-    for rest in (lambda: _apart(pairs, labels).join(first, ["a", "b"], "left_anti"), lambda: _possible(_outside(full, labels, nodes, threshold), nodes, threshold).select("a", "b").join(pairs, ["a", "b"], "left_anti")):
-        more = cut(rest())
+    pairs, full = _met(nodes, crowd, threshold)
+    tidy(spark)
+    pairs = cut(_possible(pairs, nodes, threshold))
+    # then across the classes there are by then: the nearest that met, the other pairs, the rest of full keys
+    for rest in (
+        lambda: _nearest(pairs.join(_apart(pairs, labels), ["a", "b"], "left_semi")),
+        lambda: _apart(pairs.union(close).select("a", "b").distinct(), labels),
+        lambda: _possible(_outside(full, labels, nodes, threshold), nodes, threshold).select("a", "b"),
+    ):
+        more = cut(rest().join(first, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             found = _verified(more, nodes, docs, key, text, threshold)
+            first = first.union(more)
             if not found.isEmpty():
-                links = links.union(found)
-                labels = components(links)
+                # a class is told by its labels, not by its links again
+                labels = components(labels.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).union(found))
     tidy(spark)
     rooted = rows.select("key", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     roots = rooted.groupBy("label").agg(F.min(F.coalesce("key", F.lit(NO_KEY))).alias("component"))

@@ -58,7 +58,11 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(size))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return majority(np.array([digest(s, SEED) for s in shingles], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit value whose bits are set in over half the hashes; zero of none."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, 64)

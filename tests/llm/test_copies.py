@@ -95,3 +95,24 @@ def test_dedup_without_telling_all_tasks(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()) + [(101, "again")], "doc_id long, text string")
     want = set(brute(texts).values())
     assert {r.doc_id for r in copies.dedup(docs).collect()} >= want
+
+
+def test_fingerprints_of_operator_2_link_first(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = {}
+    for k in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        texts[2 * k] = " ".join(base)
+        texts[2 * k + 1] = " ".join(base[:-1] + ["end"] * (k % 2) + [base[-1]])  # a set more, or the same set
+    fps = {d: copies.majority(copies.shingles(t)) for d, t in texts.items()}
+    want = {d: d - 1 if d % 2 and (fps[d] ^ fps[d - 1]).bit_count() <= 2 else d for d in texts}
+    assert sum(want[d] != d and texts[d] != texts[d - 1] for d in texts) > 1
+    met = copies._met
+
+    def nothing(nodes, crowd, threshold):
+        pairs, full = met(nodes, crowd, threshold)
+        return pairs.limit(0), full.limit(0)
+
+    monkeypatch.setattr(copies, "_met", nothing)  # without the search among the sets
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component for r in copies.near_groups(docs).collect()} == want
