@@ -88,3 +88,20 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert simhash.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_components_cost_rows_in_proportion_to_links(spark, monkeypatch):
+    rng = random.Random(3)
+    order = rng.sample(range(10**6), 40)
+    pairs = list(zip(order, order[1:])) + [(-1, -1), (-5, -4), (-4, -4)]
+    rows, write = [], graph.written
+
+    def counted(df):
+        out = write(df)
+        rows.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == roots({x for p in pairs for x in p}, pairs)
+    assert sum(rows) <= 10 * len(pairs)
