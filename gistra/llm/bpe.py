@@ -13,7 +13,7 @@ both sides of the seam, latest first, and looking for a merge across the seam
 that would have come earlier. Answers are kept per pair.
 
 Texts never leave their row: encoding is one pass over the table without a
-shuffle, executors that are lost only cost their tasks. Known chunks are kept
+shuffle, executors that are lost only cost their tasks. Known words are kept
 per Python worker in two generations of bounded size.
 
 Defined results for odd input: a null text encodes as the empty text; empty
@@ -45,8 +45,8 @@ from gistra.llm.common import table
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Fixed value: characters with the Unicode property White_Space, as a class body.
 SPACES = "\t-\r \x85\xa0  -     　"
-#: Chunks that a worker keeps in the younger of its two generations.
-KEEP = 100_000
+#: Words that a worker keeps in the younger of its two generations; a query that runs alone has room for more.
+KEEP, KEEP_ALONE = 100_000, 300_000
 #: Texts between two walks; bounds the trie.
 STEP = 512
 
@@ -224,19 +224,24 @@ class Encoder:
         self.numbers = list(self.strings)
 
     def _plain(self, text: str) -> list[str]:
-        """The chunks between white space of a text without special tokens, normalized."""
+        """The words of a text without special tokens, normalized."""
         if not text.isascii():
             if self.far.search(text):  # beyond Latin letters, the Unicode version of the library counts
                 text = self.normalizer.normalize_str(text)
             elif not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
         text = text.lower()
-        if self.odd_space.search(text):
-            return [x for x in self.space.split(text) if x]
-        return text.split()
+        find = self.words.findall
+        far = not text.isascii() and self.far.search(text)
+        if not far and not self.odd_space.search(text):
+            return find(text)
+        out: list[str] = []
+        for c in filter(None, self.space.split(text)):
+            out += [c[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(c)] if far and self.far.search(c) else find(c)
+        return out
 
     def chunks(self, text: str) -> list[str]:
-        """Chunks of a text; a special token is a chunk that starts with NUL NUL."""
+        """Words of a text; a special token is one that starts with NUL NUL."""
         if not any(m in text for m in self.marks):
             return self._plain(text)
         out: list[str] = []
@@ -245,24 +250,12 @@ class Encoder:
         return out
 
     def _learn(self, missing: set[str]) -> None:
-        split: dict[str, list[str]] = {}
-        words: set[str] = set()
-        special, find = self.model.special, self.words.findall
-        for c in missing:
-            if c.startswith("\0\0") and c[2:] in special:
-                self.young[c] = str(special[c[2:]])
-                continue
-            if c.isascii():
-                split[c] = parts = [c] if c.isalpha() else find(c)
-            elif self.far.search(c):
-                split[c] = parts = [c[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(c)]
-            else:
-                split[c] = parts = find(c)
-            words.update(parts)
-        number = self.numbers.__getitem__
-        ids = {w: " ".join(map(number, x)) for w, x in self.model.encode_words(words).items()}
-        for c, parts in split.items():
-            self.young[c] = ids[parts[0]] if len(parts) == 1 else " ".join([ids[w] for w in parts])
+        special, number = self.model.special, self.numbers.__getitem__
+        marks = {c for c in missing if c.startswith("\0\0") and c[2:] in special}
+        for c in marks:
+            self.young[c] = str(special[c[2:]])
+        for w, x in self.model.encode_words(missing - marks).items():
+            self.young[w] = " ".join(map(number, x))
 
     def encode(self, texts: list[str]) -> list[str]:
         """Decimal ids of each text, joined by one space."""
@@ -287,8 +280,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, keep: int = KEEP) -> Encoder:
+    return Encoder(path, keep)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -341,14 +334,14 @@ def decode(df: DataFrame, path: str, column: str = "ids", out: str = "decoded")
     return df.mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, path: str, column: str = "text", ids: bool = True) -> DataFrame:
+def round_trip(df: DataFrame, path: str, column: str = "text", ids: bool = True, keep: int = KEEP) -> DataFrame:
     """Replaces ``column`` by n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
     new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     new += [("ids", T.ArrayType(T.IntegerType()))] if ids else []
     schema = _columns(df.drop(column), new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sha = encoder(path), hashlib.sha256
+        enc, sha = encoder(path, keep), hashlib.sha256
         for batch in batches:
             for part, texts in _batches(batch, column):
                 found = enc.encode(texts)
@@ -369,4 +362,4 @@ def round_trip(df: DataFrame, path: str, column: str = "text", ids: bool = True)
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every document with the word vocabulary, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return round_trip(docs, vocabulary(), ids=False)
+    return round_trip(docs, vocabulary(), ids=False, keep=KEEP_ALONE)

@@ -47,6 +47,22 @@ def test_generations_of_known_chunks():
         assert small.encode(texts[k : k + 5]) == [" ".join(map(str, e.ids)) for e in LIBRARY.encode_batch(texts[k : k + 5], add_special_tokens=False)]
 
 
+def test_a_word_is_learned_once_whatever_stands_beside_it(monkeypatch):
+    learned, encode_words = [], bpe.Bpe.encode_words
+
+    def counted(self, words):
+        words = list(words)
+        learned.extend(words)
+        return encode_words(self, words)
+
+    monkeypatch.setattr(bpe.Bpe, "encode_words", counted)
+    fresh = bpe.Encoder(PATH)
+    texts = ["marks", "marks, (marks)", '"marks" 7marks7', "été marks. été,\x1cmarks", "日本 marks 日本,"]
+    got = [fresh.encode([t])[0] for t in texts]
+    assert got == [" ".join(map(str, e.ids)) for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert len(learned) == len(set(learned))
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "Two words", None), (3, "Two words", None)], "doc_id long, text string, ids string")
     got = bpe.round_trip(df, PATH)
