@@ -21,7 +21,9 @@ another one under each key. Of all who meet across the classes of the
 fingerprints, each set is first compared with the one whose sketch is nearest.
 Then only what still lies in different classes is compared: first the other
 pairs that met, then the members of full keys
-outside the key's largest class with those of other classes. Members of one class need no
+outside the key's largest class with those of other classes: each with the
+nearest of them as long as that links any, and all that are apart by then at the end.
+Members of one class need no
 comparing, so a group of copies costs its size.
 
 Defined results for odd input: null and empty texts, and texts of white space
@@ -33,7 +35,7 @@ and kept by ``dedup``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistra.llm.common import cut, tidy
+from gistra.llm.common import cut, tidy, written
 from gistra.llm.graph import components
 from gistra.llm.simhash import links as fingerprint_links
 from gistra.llm.simhash import majority
@@ -210,57 +212,84 @@ def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _outside(full: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def _outside(full: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float, nearest: bool = False) -> DataFrame:
     """Pairs of the members of full keys outside their key's largest class and members of other classes.
 
     Members are dealt to blocks of about BLOCK; block meets block, and only the
-    pairs that size and sketch allow come out.
+    pairs that size and sketch allow come out. Copies share many full keys: a pair
+    comes out under the least one that both have, and once. With ``nearest`` only
+    each outside member's pair with the nearest sketch comes out, one a key as a rule.
     """
-    named = full.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    named = cut(named.join(nodes.select("set_id", "w"), "set_id"))
+    named = cut(full.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id")))
     classes = named.groupBy("sig", "label").agg(F.count("*").alias("c"))
     large = classes.groupBy("sig").agg(F.max_by("label", F.struct("c", "label")).alias("large"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("classes"))
-    rest = named.join(large.filter("classes > 1"), "sig")
+    rest = cut(named.join(large.filter("classes > 1"), "sig"))
+    # sets of different classes meet under every full key of both, as all such keys have several classes
+    keys = rest.groupBy("set_id").agg(F.collect_set("sig").alias("keys")).join(nodes.select("set_id", "w"), "set_id")
+    rest = cut(rest.join(keys, "set_id").withColumn("less", F.expr("filter(keys, k -> k < sig)")).drop("keys"))
 
     def blocks(rows: DataFrame, size: str, out: str) -> DataFrame:
         block = F.pmod(F.xxhash64("set_id"), F.ceil(F.expr(size) / BLOCK).cast("long"))
-        return rows.groupBy("sig", block.alias(f"{out}_block")).agg(F.collect_list(F.struct("set_id", "n", "label", "w")).alias(out))
+        member = F.struct("set_id", "n", "label", (F.col("label") == F.col("large")).alias("large"), "w", "less")
+        return rows.groupBy("sig", block.alias(f"{out}_block")).agg(F.collect_list(member).alias(out))
 
-    met = blocks(rest, "all", "xs").join(blocks(rest.filter("label <> large"), "all - most", "ys"), "sig").select("xs", "ys")
+    # all blocks that an outside one meets follow each other
+    met = blocks(rest.filter("label <> large"), "all - most", "xs").join(blocks(rest, "all", "ys"), "sig").select("sig", "xs_block", "xs", "ys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, xs, best = None, {}, {}
         for batch in batches:
-            found = [_between(_block(xs), _block(ys), threshold) for xs, ys in zip(batch.column(0), batch.column(1), strict=True)]
-            a, b = (np.concatenate([f[side] for f in found]) if found else np.zeros(0, np.int64) for side in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            out = []
+            for sig, block, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if at != (sig.as_py(), block.as_py()):
+                    out += best.values()
+                    at, xs, best = (sig.as_py(), block.as_py()), _block(x), {}
+                for differ, a, b in _between(xs, _block(y), threshold):
+                    if not nearest:
+                        out += ((0, a, other) for other in b.tolist())
+                    else:
+                        k = np.lexsort((b, differ))[0]
+                        best[a] = min(best.get(a, (NO_KEY, 0, 0)), (int(differ[k]), a, int(b[k])))
+            yield _ends(out)
+        yield _ends(best.values())
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _ends(pairs: Iterable[tuple[int, int, int]]) -> pa.RecordBatch:
+    ends = [(a, b) if a < b else (b, a) for _, a, b in pairs]
+    return pa.RecordBatch.from_arrays([pa.array([e[side] for e in ends], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
 
 def _block(members: pa.ListScalar) -> dict[int, tuple[np.ndarray, ...]]:
-    """(set ids, sizes, labels, sketches as rows of a matrix) of a block's members, by width of sketch."""
+    """(set ids, sizes, labels, whether in the key's largest class, lists of lesser full keys, sketches as rows of a matrix) of a block's members, by width of sketch."""
     rows = members.values
-    ids, n, labels, w = (rows.field(k) for k in ("set_id", "n", "label", "w"))
+    ids, n, labels, large, w, less = (rows.field(k) for k in ("set_id", "n", "label", "large", "w", "less"))
     width, words = pa.compute.list_value_length(w).to_numpy(), w.flatten().to_numpy().view(np.uint64)
     starts = np.cumsum(width) - width
-    fixed = [x.to_numpy().astype(np.int64) for x in (ids, n, labels)]
-    return {int(k): (*(x[width == k] for x in fixed), words[starts[width == k][:, None] + np.arange(k)]) for k in np.unique(width)}
+    fixed = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (ids, n, labels, large)]
+    lists = np.empty(len(ids), object)
+    lists[:] = np.split(less.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(less).to_numpy())[:-1])
+    return {int(k): (*(x[width == k] for x in (*fixed, lists)), words[starts[width == k][:, None] + np.arange(k)]) for k in np.unique(width)}
+
 
+def _between(xs: dict[int, tuple[np.ndarray, ...]], ys: dict[int, tuple[np.ndarray, ...]], threshold: float) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(bits that differ, a, ids b) for the members a of an outside block and b of a block that lie in different classes, that size and sketch allow, and that have no lesser full key in common.
 
-def _between(xs: dict[int, tuple[np.ndarray, ...]], ys: dict[int, tuple[np.ndarray, ...]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the members of two blocks that lie in different classes and that size and sketch allow."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for p, (a, n, la, x) in xs.items():
-        for q, (b, m, lb, y) in ys.items():
+    Members outside the largest class are in blocks of both sides; such a pair comes out at its lesser id.
+    """
+    for p, (a, n, la, _, kx, x) in xs.items():
+        for q, (b, m, lb, inside, ky, y) in ys.items():
+            keys, owner = np.concatenate(ky), np.repeat(np.arange(len(ky)), [len(k) for k in ky])
             least = min(p, q)
             x_folded, y_folded = (np.bitwise_xor.reduce(z.reshape(len(z), -1, least), axis=1) for z in (x, y))
             for i in range(len(a)):  # a member against a block: as much memory as the block
-                at = np.flatnonzero((lb != la[i]) & (np.minimum(n[i], m) >= threshold * np.maximum(n[i], m) - 1e-9))
+                at = np.flatnonzero((lb != la[i]) & ((b > a[i]) | (inside == 1)) & (np.minimum(n[i], m) >= threshold * np.maximum(n[i], m) - 1e-9))
                 if len(at):
                     differ = np.bitwise_count(x_folded[i] ^ y_folded[at]).sum(axis=1, dtype=np.int64)
-                    at = at[differ <= (n[i] + m[at]) * ((1 - threshold) / (1 + threshold)) + 1e-6]
-                    out.append((np.full(len(at), a[i]), b[at]))
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+                    near = (differ <= (n[i] + m[at]) * ((1 - threshold) / (1 + threshold)) + 1e-6) & ~np.isin(at, owner[np.isin(keys, kx[i])])
+                    if near.any():
+                        yield differ[near], int(a[i]), b[at[near]]
 
 
 def _met(nodes: DataFrame, crowd: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -308,19 +337,28 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     pairs, full = _met(nodes, crowd, threshold)
     tidy(spark)
     pairs = cut(_possible(pairs, nodes, threshold))
-    # then across the classes there are by then: the nearest that met, the other pairs, the rest of full keys
-    for rest in (
-        lambda: _nearest(pairs.join(_apart(pairs, labels), ["a", "b"], "left_semi")),
-        lambda: _apart(pairs.union(close).select("a", "b").distinct(), labels),
-        lambda: _possible(_outside(full, labels, nodes, threshold), nodes, threshold).select("a", "b"),
-    ):
-        more = cut(rest().join(first, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            found = _verified(more, nodes, docs, key, text, threshold)
-            first = first.union(more)
-            if not found.isEmpty():
-                # a class is told by its labels, not by its links again
-                labels = components(labels.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).union(found))
+
+    def joined(rest: DataFrame) -> bool:
+        """Whether the pairs that were not compared before link anything."""
+        nonlocal first, labels
+        more, _ = written(rest.join(first, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            return False
+        found = _verified(more, nodes, docs, key, text, threshold)
+        first = first.union(more)
+        if found.isEmpty():
+            return False
+        # a class is told by its labels, not by its links again
+        labels = components(labels.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).union(found))
+        return True
+
+    # then across the classes there are by then: the nearest that met, the other pairs
+    joined(_nearest(pairs.join(_apart(pairs, labels), ["a", "b"], "left_semi")))
+    joined(_apart(pairs.union(close).select("a", "b").distinct(), labels))
+    # the rest of full keys, the nearest as long as they link, so that of a class few pairs are left for the end
+    while joined(_outside(full, labels, nodes, threshold, nearest=True).distinct()):
+        tidy(spark)
+    joined(_outside(full, labels, nodes, threshold))
     tidy(spark)
     rooted = rows.select("key", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     roots = rooted.groupBy("label").agg(F.min(F.coalesce("key", F.lit(NO_KEY))).alias("component"))

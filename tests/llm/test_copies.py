@@ -116,3 +116,33 @@ def test_fingerprints_of_operator_2_link_first(spark, monkeypatch):
     monkeypatch.setattr(copies, "_met", nothing)  # without the search among the sets
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component for r in copies.near_groups(docs).collect()} == want
+
+
+def test_rest_of_full_keys_makes_each_pair_once(spark, monkeypatch):
+    rng = random.Random(12)
+    base, sets = [f"w{k}" for k in range(150)], []
+    for n in range(100):  # more than a block; every other one has edits, so that some pairs are possible and some not
+        words = list(base)
+        for _ in range(rng.randrange(1, 5) if n % 2 else 1):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(10**6)}"
+        sets.append(copies.shingles(" ".join([*words, *base[: n % 3 * 8]])))
+    ids, n, w = [copies.set_id(s) for s in sets], [len(s) for s in sets], [copies.sketch(s) for s in sets]
+    label = {i: ids[0] for k, i in enumerate(ids) if k % 4 == 0} | {i: ids[1] for k, i in enumerate(ids) if k % 8 == 1}
+    under = {key: [k for k in range(100) if key < 6 or rng.random() < 0.7] for key in range(12)}  # copies share many keys
+    apart = lambda a, b: label.get(ids[a], ids[a]) != label.get(ids[b], ids[b])
+    fits = lambda a, b: min(n[a], n[b]) >= 0.8 * max(n[a], n[b]) and sum(int(v).bit_count() for v in (w[a] ^ w[b]).view("uint64")) <= (n[a] + n[b]) / 9 + 1e-6
+    met = [(a, b) for members in under.values() for a in members for b in members if a < b and apart(a, b) and fits(a, b)]
+    want = sorted({tuple(sorted((ids[a], ids[b]))) for a, b in met})
+    assert 100 < len(want) < len(met) / 5 and len(want) < sum(apart(a, b) for a in range(100) for b in range(a))
+    full = spark.createDataFrame([(key, ids[k], n[k]) for key, members in under.items() for k in members], "sig long, set_id long, n int")
+    labels = spark.createDataFrame(list(label.items()), "node long, label long")
+    nodes = spark.createDataFrame([(ids[k], n[k], w[k].tolist()) for k in range(100)], "set_id long, n int, w array<long>")
+    real, made = type(full).mapInArrow, []
+    monkeypatch.setattr(type(full), "mapInArrow", lambda *args: made.append(real(*args)) or made[-1])
+    got = copies._outside(full, labels, nodes, 0.8)
+    assert sorted((r.a, r.b) for r in got.collect()) == want
+    assert made[-1].count() == len(want)  # no pair again under another key, or from the other side
+    copies._outside(full, labels, nodes, 0.8, nearest=True)
+    near = [(r.a, r.b) for r in made[-1].collect()]
+    assert set(near) <= set(want) and 50 < len(near) < len(want)
+    assert len(set(near)) == len(near)
