@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gistra.sources.tables import table  # noqa: F401
 
 
+def folder(s) -> str:
+    """A folder that executors share: under the checkpoint folder where one is named."""
+    named = s.conf.get("spark.checkpoint.dir", None)
+    return f"{named or s.conf.get('spark.sql.warehouse.dir')}/gistra-streams/{uuid.uuid4().hex}"
+
+
 def H(seed: int, x: str) -> str:
     """SQL of the canonical hash."""
     return f"('0x' || substr(md5('{seed}:' || {x}), 1, 15))::BIGINT"

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistra.operators import cardinality as C
 from gistra.plans.cardinality import est_sql, regs_sql
+from gistra.plans.common import folder as _folder
 from gistra.plans.common import r4, table
 from gistra.streaming import dgim, windows
 
 
-def _folder(s) -> str:
-    """A folder that executors share: under the checkpoint folder where one is named."""
-    named = s.conf.get("spark.checkpoint.dir", None)
-    return f"{named or s.conf.get('spark.sql.warehouse.dir')}/gistra-streams/{uuid.uuid4().hex}"
-
-
 def _events(s, d) -> DataFrame:
     schema = table(s, d, "events").schema
     return s.readStream.schema(schema).parquet(f"{d}/events.parquet*")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from gistra import catalog
+from gistra.operators import reconcile as X
 from test_queries import rows
 
 
@@ -24,3 +25,14 @@ def same(spark, tmp_path):
 
 def test_greatest_count_among_more_users_than_the_summary_holds(same):
     same("events", "select i as event_id, case when i < 9 then 7 else i % 6000 end as user_id from range(12000) t(i)", "f31_built_in_top")
+
+
+def test_difference_larger_than_one_table_of_cells(same):
+    same("customer", "select i as c_custkey, 'c' || i as c_name, i % 25 as c_nationkey from range(70000) t(i)", "x04_iblt_decode")
+
+
+def test_difference_of_sets(spark, tmp_path):
+    a, b = spark.range(0, 900).selectExpr("id as w"), spark.range(60, 930).selectExpr("id as w")
+    got = {tuple(r) for r in X.Iblt(5).difference(a.union(a), b, "w", str(tmp_path)).collect()}
+    assert got == {("insert", k) for k in range(60)} | {("remove", k) for k in range(900, 930)}
+    assert not X.Iblt(5).difference(a, a, "w", str(tmp_path / "none")).collect()
