@@ -243,6 +243,7 @@ class BinaryFuse:
     """A static filter: three positions of an array whose xor is the item's fingerprint.
 
     Items are dealt into shards of bounded size; each shard is solved on its own.
+    ``n`` is a guess: ``build`` counts the items, and deals more of them to more shards.
     """
 
     SHARD = 20_000
@@ -298,7 +299,9 @@ class BinaryFuse:
                 cells[q] = (h(keys[k], 9) & ((1 << bits) - 1)) ^ cells[a] ^ cells[b] ^ cells[c]
             return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n": [len(keys)], "seed": [seed], "segment": [segment], "cells": [cells.tolist()]})
 
-        keys = df.select(F.col(item).cast("long").alias("key")).filter("key is not null").distinct().withColumn("shard", (h60(F.col("key"), 8) % self.shards).cast("int"))
+        keys = df.select(F.col(item).cast("long").alias("key")).filter("key is not null").distinct()
+        self.shards = max(self.shards, -(-keys.count() // self.SHARD))
+        keys = keys.withColumn("shard", (h60(F.col("key"), 8) % self.shards).cast("int"))
         return keys.groupBy("shard").applyInPandas(solve, "shard int, n long, seed int, segment int, cells array<long>")
 
     def contains(self, filters: DataFrame, probes: DataFrame, item: str, out: str = "maybe") -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from gistra import catalog
+from gistra.operators import membership as M
 from gistra.operators import reconcile as X
 from test_queries import rows
 
@@ -36,3 +37,12 @@ def test_difference_of_sets(spark, tmp_path):
     got = {tuple(r) for r in X.Iblt(5).difference(a.union(a), b, "w", str(tmp_path)).collect()}
     assert got == {("insert", k) for k in range(60)} | {("remove", k) for k in range(900, 930)}
     assert not X.Iblt(5).difference(a, a, "w", str(tmp_path / "none")).collect()
+
+
+def test_fuse_shards_follow_the_number_of_items(spark, monkeypatch):
+    monkeypatch.setattr(M.BinaryFuse, "SHARD", 500)
+    f = M.BinaryFuse(400)
+    built = f.build(spark.range(4000), "id")
+    assert built.agg({"n": "max"}).first()[0] < 700 and f.stats(built).first().items == 4000
+    got = f.contains(built, spark.range(8000), "id").collect()
+    assert all(r.maybe for r in got if r.id < 4000) and sum(r.maybe for r in got) < 4000 + 0.025 * 4000
