@@ -93,7 +93,7 @@ class Bloom:
         return state.df.agg(bits.alias("bits")).select(
             "bits", F.lit(self.m).alias("m"), F.lit(self.k).alias("k"),
             F.pow(F.col("bits") / self.m, F.lit(self.k)).alias("false_positive_rate"),
-            (-self.m * F.log(1 - F.col("bits") / self.m) / self.k).alias("items"),
+            F.when(F.col("bits") >= self.m, float("inf")).otherwise(-self.m * F.log(1 - F.col("bits") / self.m) / self.k).alias("items"),  # a full filter tells no number
             F.lit((self.m + 7) // 8).alias("bytes"),
         )
 

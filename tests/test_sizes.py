@@ -46,3 +46,7 @@ def test_fuse_shards_follow_the_number_of_items(spark, monkeypatch):
     assert built.agg({"n": "max"}).first()[0] < 700 and f.stats(built).first().items == 4000
     got = f.contains(built, spark.range(8000), "id").collect()
     assert all(r.maybe for r in got if r.id < 4000) and sum(r.maybe for r in got) < 4000 + 0.025 * 4000
+
+
+def test_statistics_of_a_full_filter(same):
+    same("orders", "select i as o_orderkey, 'F' as o_orderstatus from range(420000) t(i)", "m04_bloom_stats")
