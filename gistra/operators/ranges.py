@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +43,14 @@ def _exists(keys: DataFrame, probes: DataFrame, low: str, high: str, out: str, w
     return probes.join(hit, [low, high], "left").withColumn(out, F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
+def _zone(key: Column, cuts: Sequence[int], first: int = 0) -> Column:
+    """The number of cut points below a key, by halving."""
+    if not cuts:
+        return F.lit(first)
+    at = len(cuts) // 2
+    return F.when(key > cuts[at], _zone(key, cuts[at + 1 :], first + at + 1)).otherwise(_zone(key, cuts[:at], first))
+
+
 class Grafite:
     """Exact answers from distinct keys; ``expected_fpr`` is what an approximate one of ``bits`` would have."""
 
@@ -69,6 +79,9 @@ class Grafite:
 class Grf:
     """Zone map of gap-separated segments; a probe meets a segment before it meets keys."""
 
+    #: Keys of a zone, about.
+    BLOCK = 100_000
+
     def __init__(self, bits: int = 6, width: int = 1024) -> None:
         P.within("bits", bits, 2, 16)
         self.bits, self.width = bits, width
@@ -76,19 +89,28 @@ class Grf:
     def segments(self, df: DataFrame, key: str) -> DataFrame:
         """(segment, low, high, keys): broken where a gap is over twice the mean gap.
 
-        Gaps are taken within ranges of keys dealt by value, and ranges start a segment.
+        Keys are dealt to zones at cut points from their quantiles. Segments are cut
+        within zones, then those that meet at a zone's edge without such a gap are joined,
+        so the zones leave no trace.
         """
         keys = df.select(F.col(key).cast("long").alias("key")).filter("key is not null").distinct()
         s = keys.agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).first()
         if not s.n:
-            return keys.select(F.lit(0).alias("zone"), F.lit(0).cast("long").alias("segment"), F.col("key").alias("low"), F.col("key").alias("high"), F.lit(0).cast("long").alias("keys"))
-        mean = (s.hi - s.lo) / max(1, s.n - 1)
-        zones = max(1, s.n // 100_000)
-        zone = F.floor((F.col("key") - s.lo) * zones / (s.hi - s.lo + 1)).cast("int")
+            return keys.select(F.lit(0).cast("long").alias("segment"), F.col("key").alias("low"), F.col("key").alias("high"), F.lit(0).cast("long").alias("keys"))
+        wide = 2 * ((s.hi - s.lo) / max(1, s.n - 1))
+        parts = -(-s.n // self.BLOCK)
+        cuts = sorted(set(map(int, keys.approxQuantile("key", [k / parts for k in range(1, parts)], 0.1 / parts)))) if parts > 1 else []
         w = Window.partitionBy("zone").orderBy("key")
-        rows = keys.withColumn("zone", zone).withColumn("gap", F.col("key") - F.lag("key").over(w))
-        rows = rows.withColumn("segment", F.sum(F.when(F.col("gap") > 2 * mean, 1).otherwise(0)).over(w))
-        return rows.groupBy("zone", "segment").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("keys"))
+        rows = keys.withColumn("zone", _zone(F.col("key"), cuts)).withColumn("gap", F.col("key") - F.lag("key").over(w))
+        rows = rows.withColumn("part", F.sum(F.when(F.col("gap") > wide, 1).otherwise(0)).over(w))
+        cut = rows.groupBy("zone", "part").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("keys"))
+        zones = rows.groupBy("zone").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("part").alias("parts"))
+        o = Window.orderBy("zone")  # a row for each zone
+        new = F.coalesce((F.col("low") - F.lag("high").over(o) > wide).cast("long"), F.lit(0))
+        zones = zones.select("zone", "parts", new.alias("new"))
+        first = F.sum(F.col("parts") + F.col("new")).over(o) - F.col("parts")
+        numbered = cut.join(zones.select("zone", first.alias("first")), "zone").withColumn("segment", F.col("first") + F.col("part"))
+        return numbered.groupBy("segment").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("keys").alias("keys"))
 
     def may_contain_range(self, df: DataFrame, key: str, probes: DataFrame, low: str, high: str, out: str = "hit") -> DataFrame:
         return _exists(df.select(F.col(key).alias("key")).distinct(), probes, low, high, out, self.width)

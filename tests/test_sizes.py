@@ -5,6 +5,7 @@ import pytest
 
 from gistra import catalog
 from gistra.operators import membership as M
+from gistra.operators import ranges as R
 from gistra.operators import reconcile as X
 from test_queries import rows
 
@@ -50,3 +51,15 @@ def test_fuse_shards_follow_the_number_of_items(spark, monkeypatch):
 
 def test_statistics_of_a_full_filter(same):
     same("orders", "select i as o_orderkey, 'F' as o_orderstatus from range(420000) t(i)", "m04_bloom_stats")
+
+
+@pytest.mark.parametrize("block", [100_000, 7])
+def test_segments_do_not_depend_on_zones(spark, monkeypatch, same, block):
+    monkeypatch.setattr(R.Grf, "BLOCK", block)
+    names = ["r04_grf_segments_whole", "r04_grf_gaps_whole", "r06_grf_stats_whole"]
+    same("orders", "select (i + 1000 * (i // 90) + i // 5 * (i % 2))::BIGINT as o_orderkey, 'F' as o_orderstatus from range(700) t(i)", *names)
+
+
+def test_segments_of_all_keys_of_a_large_table(same):
+    names = ["r04_grf_segments", "r04_grf_gaps", "r06_grf_stats"]
+    same("lineitem", "select i * 3 // 2 + i // 5000 * 97 as l_orderkey, 50.0 as l_quantity from range(250000) t(i)", *names)
