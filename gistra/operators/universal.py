@@ -36,16 +36,21 @@ class UnivMon:
 
     def build(self, df: DataFrame, item: str | Column, value: str | Column | None = None, by: Sequence[str] = ()) -> tuple[State, State]:
         """(cells by layer, greatest items by layer)."""
+        cells, items = self.parts(df, item, value, by)
+        return cells, self._trim(items)
+
+    def parts(self, df: DataFrame, item: str | Column, value: str | Column | None = None, by: Sequence[str] = ()) -> tuple[State, State]:
+        """(cells by layer, all items by layer): what merges without loss, since an item left out of one part may be great in all."""
         rows = self.layered(df, item, value, by)
         cells = self.sketch.build(rows, "item", [*by, "layer"], "cnt")
-        heavy = State(rows, "univmon_items", {"layers": self.layers}, tuple(by), ("layer", "item"), {"cnt": "sum"})
-        return cells, self._trim(heavy)
+        return cells, State(rows, "univmon_items", {"layers": self.layers}, tuple(by), ("layer", "item"), {"cnt": "sum"})
 
     def _trim(self, heavy: State) -> State:
         w = Window.partitionBy(*heavy.by, "layer").orderBy(F.desc("cnt"), "item")
         return heavy.like(heavy.df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= self.keep(F.col("layer"))).select(*heavy.by, "layer", "item", "cnt"))
 
     def merge(self, a: tuple[State, State], b: tuple[State, State]) -> tuple[State, State]:
+        """The model of two ``parts`` together. Models that ``build`` has trimmed merge too, but their items' counts are then lower bounds."""
         return a[0].merge(b[0]), self._trim(a[1].merge(b[1]))
 
     @staticmethod
