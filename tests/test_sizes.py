@@ -1,5 +1,7 @@
 """Results that must not change as tables grow: tables larger than a summary, a filter or a block of keys."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -7,6 +9,7 @@ from gistra import catalog
 from gistra.operators import membership as M
 from gistra.operators import ranges as R
 from gistra.operators import reconcile as X
+from gistra.streaming import dgim
 from test_queries import rows
 
 
@@ -67,3 +70,19 @@ def test_segments_of_all_keys_of_a_large_table(same):
 
 def test_merged_monitors_of_more_items_than_a_layer_keeps(same):
     same("events", "select i as event_id, i * i % 2617 * 7 % 1500 as user_id from range(9000) t(i)", "u09_univmon_merge")
+
+
+def test_sliding_counts_of_a_stream_in_no_order(same):
+    """Rows of a key come in several chunks, times repeat and are in no order."""
+    same("events", "select i as event_id, 'ab'[1 + i % 2] as event_type, timestamp '2024-01-01' + interval (i * 7919 % 50021 * 4) second as ts from range(50000) t(i)", "t05_stream_sliding_count")
+
+
+def test_bounds_hold_for_late_arrivals():
+    rng, buckets, seen = random.Random(4), [], []
+    for t in range(1, 1500):
+        at = t - rng.choice([0, 0, rng.randrange(400)])
+        buckets = dgim.add(buckets, at, 5)
+        seen.append(at)
+    for start in range(200, 1500, 50):
+        _, low, high = dgim.count(buckets, start)
+        assert low <= sum(x >= start for x in seen) <= high
