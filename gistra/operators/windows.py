@@ -51,16 +51,20 @@ class ExponentialHistogram:
 def sliding_counts(df: DataFrame, ts: str | Column, window: int, by: Sequence[str] = (), parts: int = 1) -> DataFrame:
     """Each row with the exact number of rows in the ``window`` up to it.
 
-    Without groups, rows are dealt to stretches of ``parts`` windows and those of
-    the last window before a stretch go to it as well, so no task holds all rows.
+    Rows are dealt to stretches of ``parts`` windows and those of the last window before
+    a stretch go to it as well, so no task holds all rows. A row counts from its time on and
+    leaves after the window: a running sum, whose cost a row doesn't depend on how full the window is.
     """
     t = (F.col(ts) if isinstance(ts, str) else ts).cast("long")
     span = window * max(1, parts)
-    rows = df.withColumn("__t", t)
-    home = F.floor(F.col("__t") / span)
-    rows = rows.withColumn("__part", F.explode(F.array_distinct(F.array(home, F.floor((F.col("__t") + window) / span)))))
-    w = Window.partitionBy(*by, "__part").orderBy("__t").rangeBetween(-window, 0)
-    return rows.withColumn("in_window", F.count("*").over(w)).filter(F.col("__part") == home).drop("__t", "__part")
+    at, end = F.col("__t"), F.col("__t") + window + 1
+    home, last = F.floor(at / span), F.floor((at + window) / span)
+    step = lambda part, at, n, own=False: F.struct(part.alias("part"), at.alias("at"), F.lit(n).alias("n"), F.lit(own).alias("own"))
+    here, there = [step(home, at, 1, True), step(home, end, -1)], [step(last, at, 1), step(last, end, -1)]
+    rows = df.withColumn("__t", t).filter("__t is not null")
+    rows = rows.withColumn("__s", F.explode(F.when(home == last, F.array(*here)).otherwise(F.array(here[0], *there))))
+    w = Window.partitionBy(*by, "__s.part").orderBy("__s.at").rangeBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("in_window", F.sum("__s.n").over(w)).filter("__s.own").drop("__t", "__s")
 
 
 class SlidingHll:

@@ -9,6 +9,7 @@ from gistra import catalog
 from gistra.operators import membership as M
 from gistra.operators import ranges as R
 from gistra.operators import reconcile as X
+from gistra.operators import windows as W
 from gistra.streaming import dgim
 from test_queries import rows
 
@@ -86,3 +87,15 @@ def test_bounds_hold_for_late_arrivals():
     for start in range(200, 1500, 50):
         _, low, high = dgim.count(buckets, start)
         assert low <= sum(x >= start for x in seen) <= high
+
+
+def test_sliding_counts_by_a_running_sum(spark):
+    """As counted row by row; no frame moves, as its cost a row grows with the rows in the window."""
+    rng = random.Random(5)
+    kept = [("xy"[rng.randrange(2)], rng.randrange(-300, 2000), k) for k in range(600)]
+    df = spark.createDataFrame(kept, "g string, t long, k long")
+    for by, parts in ((["g"], 1), ([], 1), ([], 7)):
+        got = W.sliding_counts(df, "t", 40, by, parts)
+        assert got.columns == ["g", "t", "k", "in_window"]
+        assert {r.k: r.in_window for r in got.collect()} == {k: sum(t - 40 <= u <= t and (not by or h == g) for h, u, _ in kept) for g, t, k in kept}
+        assert "unboundedpreceding" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "-40" not in plan
