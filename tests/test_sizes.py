@@ -99,3 +99,8 @@ def test_sliding_counts_by_a_running_sum(spark):
         assert got.columns == ["g", "t", "k", "in_window"]
         assert {r.k: r.in_window for r in got.collect()} == {k: sum(t - 40 <= u <= t and (not by or h == g) for h, u, _ in kept) for g, t, k in kept}
         assert "unboundedpreceding" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "-40" not in plan
+
+
+def test_built_in_summaries_are_not_kept_per_item(spark, data):
+    plan = catalog.queries()["c24_built_in_distinct"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "sketch" in x and "l_partkey" in x.split("functions=")[0]]
