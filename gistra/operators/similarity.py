@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 
 from gistra.functions import params as P
 from gistra.functions.hashing import hashed
-from gistra.operators.state import State
+from gistra.operators.state import COMBINE, State
 
 SPREAD = 60
 
 
+def _wide(rows: DataFrame, kind: str, params: dict, by: Sequence[str], slots: dict[str, Column], how: str) -> State:
+    """A state of many columns, each computed within its aggregate.
+
+    Computed in a projection below, all of them are arguments of the aggregation's
+    code, which then can't be split and is too long to be compiled.
+    """
+    df = rows.groupBy(*by).agg(*(COMBINE[how](x).alias(c) for c, x in slots.items()))
+    return State(df, kind, params, tuple(by), (), dict.fromkeys(slots, how))
+
+
 class MinHash:
     """The least hash of a set under each of num_perm permutations: (a + i b) mod 2^31."""
 
@@ -28,8 +38,8 @@ class MinHash:
         col = F.col(item) if isinstance(item, str) else item
         items = df.select(*by, col.alias("__item")).filter("__item is not null")  # minima ignore repeats: one shuffle, of partial minima
         h = items.select(*by, (hashed(F.col("__item"), 1, self.fast) % self.MOD).alias("a"), (hashed(F.col("__item"), 2, self.fast) % self.MOD).alias("b"))
-        rows = h.select(*by, *((((F.col("a") + i * F.col("b")).bitwiseXOR((i * 0x9E3779B1) % self.MOD)) % self.MOD).alias(f"m{i}") for i in range(self.num_perm)))
-        return State.of(rows, "minhash", {"num_perm": self.num_perm, "fast": self.fast}, by, [], {f"m{i}": "min" for i in range(self.num_perm)})
+        least = {f"m{i}": ((F.col("a") + i * F.col("b")).bitwiseXOR((i * 0x9E3779B1) % self.MOD)) % self.MOD for i in range(self.num_perm)}
+        return _wide(h, "minhash", {"num_perm": self.num_perm, "fast": self.fast}, by, least, "min")
 
     def signatures(self, state: State) -> DataFrame:
         return state.df.select(*state.by, F.array(*(f"m{i}" for i in range(self.num_perm))).alias("signature"))
@@ -77,8 +87,8 @@ class SimHash:
         w = (F.lit(1) if weight is None else F.col(weight) if isinstance(weight, str) else weight).cast("long")
         n = df.select(*by, col.alias("f"), w.alias("w")).filter("f is not null").groupBy(*by, "f").agg(F.sum("w").alias("w"))
         h = n.select(*by, "w", hashed(F.col("f"), 0, self.fast).alias("h"))
-        rows = h.select(*by, *(F.when(F.shiftright("h", i).bitwiseAND(1) == 1, F.col("w")).otherwise(-F.col("w")).alias(f"b{i}") for i in range(self.bits)))
-        return State.of(rows, "simhash", {"bits": self.bits, "fast": self.fast}, by, [], {f"b{i}": "sum" for i in range(self.bits)})
+        signed = {f"b{i}": F.when(F.shiftright("h", i).bitwiseAND(1) == 1, F.col("w")).otherwise(-F.col("w")) for i in range(self.bits)}
+        return _wide(h, "simhash", {"bits": self.bits, "fast": self.fast}, by, signed, "sum")
 
     def fingerprints(self, state: State) -> DataFrame:
         bits = [F.when(F.col(f"b{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(self.bits)]

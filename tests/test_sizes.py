@@ -9,6 +9,7 @@ from gistra import catalog
 from gistra.operators import membership as M
 from gistra.operators import ranges as R
 from gistra.operators import reconcile as X
+from gistra.operators import similarity as S
 from gistra.operators import windows as W
 from gistra.streaming import dgim
 from test_queries import rows
@@ -104,3 +105,15 @@ def test_sliding_counts_by_a_running_sum(spark):
 def test_built_in_summaries_are_not_kept_per_item(spark, data):
     plan = catalog.queries()["c24_built_in_distinct"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "sketch" in x and "l_partkey" in x.split("functions=")[0]]
+
+
+def _nodes(plan, name):
+    return [x for x in plan.splitlines() if name in x]
+
+
+def test_slots_are_computed_within_their_aggregate(spark):
+    """Sixty columns below an aggregate make its code too long to be compiled."""
+    words = spark.range(50).selectExpr("id % 3 as g", "cast(id as string) as x")
+    for state in (S.SimHash().build(words, "x", ["g"]), S.MinHash(32).build(words, "x", ["g"])):
+        plan = state.df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in _nodes(plan, "Project") if x.count(" AS ") > 8]
