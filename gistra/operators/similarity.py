@@ -105,12 +105,16 @@ class SimHash:
         return (self.bits - self.hamming(a, b)) / float(self.bits)
 
     def near(self, prints: DataFrame, name: str, distance: int = 3) -> DataFrame:
-        """Pairs of distinct fingerprints within ``distance``: one of distance + 1 blocks is equal."""
-        blocks = distance + 1
+        """Pairs of distinct fingerprints within ``distance``: two of distance + 2 blocks at least are equal."""
+        blocks = distance + 2
         width = -(-self.bits // blocks)
+        block = lambda i: F.shiftright("fingerprint", i * width).bitwiseAND((1 << width) - 1)
         sets = prints.groupBy("fingerprint").agg(F.min(name).alias(name), F.count("*").alias("copies"))
-        keys = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftright("fingerprint", i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(blocks)))
-        at = sets.select(name, "fingerprint", F.explode(keys).alias("k"))
+        two = [(i, j) for i in range(blocks) for j in range(i)]
+        keys = F.array(*(F.struct(F.lit(n).alias("i"), (block(i) * (1 << width) + block(j)).alias("v")) for n, (i, j) in enumerate(two)))
+        # dealt by number: by size, Spark would join small rows with many partners in one task
+        parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        at = sets.select(name, "fingerprint", F.explode(keys).alias("k")).repartition(parts, "k")
         x = at.select(F.col(name).alias("a"), F.col("fingerprint").alias("fa"), "k")
         y = at.select(F.col(name).alias("b"), F.col("fingerprint").alias("fb"), "k")
         met = x.join(y, "k").filter((F.col("fa") < F.col("fb")) & (self.hamming(F.col("fa"), F.col("fb")) <= distance))

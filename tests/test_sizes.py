@@ -117,3 +117,21 @@ def test_slots_are_computed_within_their_aggregate(spark):
     for state in (S.SimHash().build(words, "x", ["g"]), S.MinHash(32).build(words, "x", ["g"])):
         plan = state.df._jdf.queryExecution().optimizedPlan().toString()
         assert not [x for x in _nodes(plan, "Project") if x.count(" AS ") > 8]
+
+
+@pytest.mark.parametrize("distance", [0, 1, 3])
+def test_near_fingerprints_are_those_of_all_pairs(spark, distance):
+    rng = random.Random(distance)
+    prints = [rng.getrandbits(60) for _ in range(40)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(60), rng.randrange(5))) for p in prints for _ in range(4)]
+    least = {p: prints.index(p) for p in prints}
+    want = {tuple(sorted((least[p], least[q]))) + (n,) for p in least for q in least if p < q and (n := (p ^ q).bit_count()) <= distance}
+    df = spark.createDataFrame(list(enumerate(prints)), "doc long, fingerprint long")
+    got = [tuple(r) for r in S.SimHash().near(df, "doc", distance).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_fingerprints_are_dealt_by_number(spark):
+    """By their few bytes all would be joined in one task."""
+    df = spark.range(50).selectExpr("id", "xxhash64(id) & ((1L << 60) - 1) as fingerprint")
+    assert "REPARTITION_BY_NUM" in S.SimHash().near(df, "id", 3)._jdf.queryExecution().executedPlan().toString()
