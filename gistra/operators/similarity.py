@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gistra.functions import params as P
 from gistra.functions.hashing import hashed
@@ -60,8 +61,9 @@ class MinHash:
         """
         (name,) = state.by
         rows = self.num_perm // bands
-        sets = self.signatures(state)
-        nodes = sets.groupBy("signature").agg(F.min(name).alias(name))
+        # one plan for nodes and copies, so that the signatures, the costly part, are computed once
+        sets = self.signatures(state).withColumn("__a", F.min(name).over(Window.partitionBy("signature")))
+        nodes = sets.filter(F.col(name) == F.col("__a")).groupBy("signature").agg(F.min(name).alias(name))
         keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, rows)))
         at = nodes.select(name, "signature", F.explode(keys).alias("key"))
         x = at.select("key", F.col(name).alias("a"), F.col("signature").alias("__x"))
@@ -70,8 +72,7 @@ class MinHash:
         # compared where they meet, so only pairs at the threshold leave the join
         near = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (equal / self.num_perm >= threshold))
         near = near.select("a", "b", (equal / self.num_perm).alias("jaccard")).distinct()
-        first = nodes.select(F.col(name).alias("a"), "signature")
-        copies = sets.join(first, "signature").filter(F.col("a") < F.col(name)).select("a", F.col(name).alias("b"), F.lit(1.0).alias("jaccard"))
+        copies = sets.filter(F.col("__a") < F.col(name)).select(F.col("__a").alias("a"), F.col(name).alias("b"), F.lit(1.0).alias("jaccard"))
         return near.union(copies.filter(F.col("jaccard") >= threshold))
 
 

@@ -119,6 +119,13 @@ def test_slots_are_computed_within_their_aggregate(spark):
         assert not [x for x in _nodes(plan, "Project") if x.count(" AS ") > 8]
 
 
+def test_signatures_are_computed_once(spark, data):
+    df = catalog.queries()["s02_similar_documents"](spark, data)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(_nodes(plan, "Scan parquet")) == 1
+
+
 @pytest.mark.parametrize("distance", [0, 1, 3])
 def test_near_fingerprints_are_those_of_all_pairs(spark, distance):
     rng = random.Random(distance)
