@@ -98,20 +98,45 @@ class Kll:
         return 1.65 / self.k
 
 
+#: Width of a zone of values, as a ratio.
+ZONE = 1.004
+
+
+def _running(n: DataFrame, by: Sequence[str], w: str) -> DataFrame:
+    """Adds the weight up to each value ``v`` of its group, ``upto``, and the group's weight, ``n``.
+
+    Values are dealt to zones of relative width, which are in order, and zones are summed up
+    first; so a task orders the values of one zone, not those of a group.
+    """
+    size = F.least(F.abs("v"), F.lit(1.7e308))
+    zone = F.when(F.col("v") == 0, 0).otherwise(F.signum("v") * (F.ceil(F.log(size) / math.log(ZONE)) + 400_000)).cast("long")
+    rows = n.withColumn("__zone", zone)
+    names = [f"__by{i}" for i in range(len(by))]
+    sums = rows.groupBy(*(F.col(c).alias(name) for c, name in zip(by, names)), F.col("__zone").alias("__z")).agg(F.sum(w).alias("__in"))
+    whole = _w(names)  # a row for each zone
+    sums = sums.withColumn("__before", F.sum("__in").over(whole.orderBy("__z")) - F.col("__in")).withColumn("n", F.sum("__in").over(whole)).drop("__in")
+    met = F.col("__zone") == F.col("__z")
+    for c, name in zip(by, names):
+        met = met & F.col(c).eqNullSafe(F.col(name))
+    inside = F.sum(w).over(Window.partitionBy(*by, "__zone").orderBy("v"))
+    return rows.withColumn("__inside", inside).join(sums, met).withColumn("upto", F.col("__before") + F.col("__inside")).drop("__zone", "__z", "__before", "__inside", *names)
+
+
+def value_ranks(df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, v, c, n, upto): distinct values, how often they occur, the group's values, and those up to this one."""
+    return _running(_values(df, value, by).groupBy(*by, "v").agg(F.count("*").alias("c")), by, "c")
+
+
 def exact_cdf(df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> DataFrame:
     """(by, value, share of values up to it): cumulative counts of distinct values."""
-    n = _values(df, value, by).groupBy(*by, "v").agg(F.count("*").alias("c"))
-    w = _w(by)
-    return n.select(*by, F.col("v").alias("value"), (F.sum("c").over(w.orderBy("v")) / F.sum("c").over(w)).alias("cdf"))
+    return value_ranks(df, value, by).select(*by, F.col("v").alias("value"), (F.col("upto") / F.col("n")).alias("cdf"))
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """The least value whose cumulative share reaches q."""
-    n = _values(df, value, by).groupBy(*by, "v").agg(F.count("*").alias("c"))
-    w = _w(by)
-    run = n.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
     rank = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n")))
-    return _qs(run, qs).filter((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)).select(*by, "q", F.col("v").alias("quantile"))
+    run = _qs(value_ranks(df, value, by), qs)
+    return run.filter((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)).select(*by, "q", F.col("v").alias("quantile"))
 
 
 class Req:
@@ -162,11 +187,9 @@ class TDigest:
 
     def _cluster(self, rows: DataFrame, by: Sequence[str]) -> DataFrame:
         """rows(v, w, low, high) -> centroids."""
-        w = _w(by)
-        upto, total = F.sum("w").over(w.orderBy("v")), F.sum("w").over(w)
-        q = (F.col("__upto") - F.col("w") / 2) / F.col("__total")
+        q = (F.col("upto") - F.col("w") / 2) / F.col("n")
         step = F.floor(self.compression / (2 * math.pi) * F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * q - 1)))).cast("int")
-        c = rows.withColumn("__upto", upto).withColumn("__total", total).withColumn("cluster", step)
+        c = _running(rows, by, "w").withColumn("cluster", step)
         return c.groupBy(*by, "cluster").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"), F.sum("w").alias("weight"), F.min("low").alias("low"), F.max("high").alias("high"))
 
     def build(self, df: DataFrame, value: str | Column, by: Sequence[str] = (), weight: str | None = None, shards: int = 1) -> State:
@@ -248,7 +271,7 @@ class Spline:
 
     def _sample(self, n: DataFrame, by: Sequence[str]) -> DataFrame:
         w = _w(by)
-        run = n.withColumn("upto", F.sum("w").over(w.orderBy("v"))).withColumn("n", F.sum("w").over(w))
+        run = _running(n, by, "w")
         x0, x1 = (F.col("upto") - F.col("w")) / F.col("n"), F.col("upto") / F.col("n")
         # a value is kept if an evenly spaced rank falls on it, or it is an extreme
         step = self.size - 1

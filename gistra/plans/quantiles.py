@@ -51,7 +51,7 @@ def exact(s, d):
 def _ranked(s, d, got, slack):
     """Share of quantiles whose rank is within ``slack`` of what was asked."""
     t = Q.exact_cdf(_price(s, d), "v", ["l_returnflag"])
-    j = got.join(t, "l_returnflag").groupBy("l_returnflag", "q").agg(
+    j = t.join(F.broadcast(got), "l_returnflag").groupBy("l_returnflag", "q").agg(
         F.coalesce(F.max(F.when(F.col("value") < F.col("quantile"), F.col("cdf"))), F.lit(0.0)).alias("low"),
         F.coalesce(F.max(F.when(F.col("value") <= F.col("quantile"), F.col("cdf"))), F.lit(0.0)).alias("high"),
     )

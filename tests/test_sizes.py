@@ -4,9 +4,11 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gistra import catalog
 from gistra.operators import membership as M
+from gistra.operators import quantiles as K
 from gistra.operators import ranges as R
 from gistra.operators import reconcile as X
 from gistra.operators import similarity as S
@@ -142,3 +144,19 @@ def test_near_fingerprints_are_dealt_by_number(spark):
     """By their few bytes all would be joined in one task."""
     df = spark.range(50).selectExpr("id", "xxhash64(id) & ((1L << 60) - 1) as fingerprint")
     assert "REPARTITION_BY_NUM" in S.SimHash().near(df, "id", 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_weights_by_zones(spark):
+    """Ranks over values of all signs, equal ones, groups and a null group; no task orders a whole group."""
+    rng = random.Random(8)
+    kept = [(rng.choice(["a", "b", None]), rng.choice([0.0, -0.0, 1e-300, -7.5, 3.25, 1e300, rng.uniform(-9, 9), rng.uniform(900, 905)])) for _ in range(900)]
+    df = spark.createDataFrame(kept, "g string, v double")
+    got = {(r.g, r.value): r.cdf for r in K.exact_cdf(df, "v", ["g"]).collect()}
+    groups = {g: [v for h, v in kept if h == g] for g, _ in kept}
+    assert got.keys() == {(g, v) for g, v in kept}
+    assert all(abs(cdf - sum(u <= v for u in groups[g]) / len(groups[g])) < 1e-12 for (g, v), cdf in got.items())
+    assert not K.exact_cdf(df.filter("v > 1e308"), "v").collect() and len(K.exact_cdf(df, "v").collect()) == len({v for _, v in kept})
+    for state in (K.TDigest(50).build(df, "v", ["g"]), K.Spline(20).build(df, "v", ["g"])):
+        windows = _nodes(state.df._jdf.queryExecution().optimizedPlan().toString(), "Window")
+        assert any("__zone" in x for x in windows)
+        assert {r.g: r.w for r in state.df.groupBy("g").agg(F.sum("weight" if "weight" in state.df.columns else "w").alias("w")).collect()} == {g: len(v) for g, v in groups.items()}
