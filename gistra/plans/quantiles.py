@@ -118,8 +118,16 @@ def td_cdf(s, d):
 def td_trimmed(s, d):
     t = Q.TDigest(400)
     got = t.trimmed_mean(t.build(_price(s, d), "v", ["l_returnflag"]), 0.1, 0.9)
-    w = _price(s, d).groupBy("l_returnflag").agg(F.expr("percentile(v, array(0.1, 0.9))").alias("p"))
-    mean = _price(s, d).join(w, "l_returnflag").filter("v >= p[0] and v <= p[1]").groupBy("l_returnflag").agg(F.avg("v").alias("m"))
+    r = Q.value_ranks(_price(s, d), "v", ["l_returnflag"])
+    at = lambda rank: F.max(F.when((F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto")), F.col("v")))
+    ends = {}
+    for name, q in (("low", 0.1), ("high", 0.9)):  # between the two values about rank q (n - 1)
+        rank = q * (F.col("n") - 1)
+        ends |= {f"{name}0": at(F.floor(rank)), f"{name}1": at(F.ceil(rank)), f"{name}t": F.max(rank - F.floor(rank))}
+    p = r.groupBy("l_returnflag").agg(*(c.alias(name) for name, c in ends.items()))
+    p = p.selectExpr("l_returnflag", "low0 + (low1 - low0) * lowt as low", "high0 + (high1 - high0) * hight as high")
+    kept = r.join(F.broadcast(p), "l_returnflag").filter("v >= low and v <= high")
+    mean = kept.groupBy("l_returnflag").agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("m"))
     return got.join(mean, "l_returnflag").select("l_returnflag", (F.abs(F.col("trimmed_mean") / F.col("m") - 1) <= 0.01).alias("within_bound"))
 
 
