@@ -86,8 +86,9 @@ class SimHash:
     def build(self, df: DataFrame, feature: str | Column, by: Sequence[str], weight: str | Column | None = None) -> State:
         col = F.col(feature) if isinstance(feature, str) else feature
         w = (F.lit(1) if weight is None else F.col(weight) if isinstance(weight, str) else weight).cast("long")
-        n = df.select(*by, col.alias("f"), w.alias("w")).filter("f is not null").groupBy(*by, "f").agg(F.sum("w").alias("w"))
-        h = n.select(*by, "w", hashed(F.col("f"), 0, self.fast).alias("h"))
+        # sums need no count of features first: one shuffle, of partial sums
+        rows = df.select(*by, col.alias("f"), w.alias("w")).filter("f is not null")
+        h = rows.select(*by, "w", hashed(F.col("f"), 0, self.fast).alias("h"))
         signed = {f"b{i}": F.when(F.shiftright("h", i).bitwiseAND(1) == 1, F.col("w")).otherwise(-F.col("w")) for i in range(self.bits)}
         return _wide(h, "simhash", {"bits": self.bits, "fast": self.fast}, by, signed, "sum")
 

@@ -160,3 +160,9 @@ def test_running_weights_by_zones(spark):
         windows = _nodes(state.df._jdf.queryExecution().optimizedPlan().toString(), "Window")
         assert any("__zone" in x for x in windows)
         assert {r.g: r.w for r in state.df.groupBy("g").agg(F.sum("weight" if "weight" in state.df.columns else "w").alias("w")).collect()} == {g: len(v) for g, v in groups.items()}
+
+
+def test_fingerprints_take_one_shuffle(spark):
+    words = spark.range(50).selectExpr("id % 3 as g", "cast(id % 7 as string) as x")
+    plan = S.SimHash().build(words, "x", ["g"]).df._jdf.queryExecution().executedPlan().toString()
+    assert len(_nodes(plan, "Exchange")) == 1
