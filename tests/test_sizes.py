@@ -69,7 +69,7 @@ def test_segments_do_not_depend_on_zones(spark, monkeypatch, same, block):
 
 def test_segments_of_all_keys_of_a_large_table(same):
     names = ["r04_grf_segments", "r04_grf_gaps", "r06_grf_stats"]
-    same("lineitem", "select i * 3 // 2 + i // 5000 * 97 as l_orderkey, 50.0 as l_quantity from range(250000) t(i)", *names)
+    same("lineitem", "select i * 3 // 2 + i // 7000 * 97 as l_orderkey, 50.0 as l_quantity from range(250000) t(i)", *names)
 
 
 def test_merged_monitors_of_more_items_than_a_layer_keeps(same):
